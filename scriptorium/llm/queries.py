@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import exact_dedup
+from scriptorium.llm import exact_dedup, ngram_join
 
 QUERIES = {
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
