@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for tests)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,20 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, whatever their path; once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_scriptorium_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="scriptorium-code-")) / "scriptorium.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(target))
+    sc._scriptorium_shipped = True
+
+
 class Workspace:
     """Tables written in the shared folder to cut lineage: a lost executor costs a read, not the work before it.
 
@@ -36,6 +51,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths = spark, table_path(spark, name), {}
+        ship_package(spark)
 
     def path(self, name: str) -> str:
         self.paths[name] = f"{self.root}/{name}-{len(self.paths)}"
