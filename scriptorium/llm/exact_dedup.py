@@ -35,7 +35,9 @@ def update_state(spark: SparkSession, arrivals: str, checkpoint: str, bytes_per_
 
     Rows: digest, keep_id (largest identifier so far), locator (of that document), group_size.
     """
-    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    store = "spark.sql.streaming.stateStore"
+    # without preallocated files, a small store takes what it holds and not 4 MB or more
+    conf = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
     was = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
