@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from scriptorium.plans import structure_queries, text_queries
+
+QUERIES = {**text_queries.QUERIES, **structure_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL, **structure_queries.ORACLE_SQL}
