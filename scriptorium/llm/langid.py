@@ -247,10 +247,10 @@ def identify(spark: SparkSession, docs: DataFrame, net: Network, text_col: str =
     kept = docs.columns if keep is None else keep
     pred = fresh(kept, "lang_pred")
     score = fresh([*kept, pred], "score")
-    spot = fresh(kept, "text_to_read")
     held = spark.sparkContext.broadcast(net)
-    given = docs.select(column(docs, text_col).cast("string").alias(spot), *[column(docs, c) for c in kept])
-    schema = T.StructType([*given.schema.fields[1:], T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    # plain names on the way through, as mapInArrow takes no others
+    given = docs.select(column(docs, text_col).cast("string").alias("read"), *[column(docs, c).alias(f"c{i}") for i, c in enumerate(kept)])
+    schema = T.StructType([*given.schema.fields[1:], T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Identifier(held.value)
@@ -260,7 +260,7 @@ def identify(spark: SparkSession, docs: DataFrame, net: Network, text_col: str =
                 said = reader(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[f.name for f in schema.fields])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).toDF(*kept, pred, score)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

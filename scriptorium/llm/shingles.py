@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
