@@ -55,35 +55,41 @@ def cluster_baselines(items: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return items.groupBy("page").applyInPandas(run, f"page {dict(items.dtypes)['page']}, id bigint, line int")
 
 
-def _cut(boxes: np.ndarray, ids: np.ndarray, gap: float, out: list) -> None:
-    """Recursive XY cut: the axis with the widest gap relative to the mean extent; else by top, then left edge at a hundredth."""
-    if len(ids) > 1:
-        best = None
-        for axis in (1, 0):  # rows before columns on equal gaps
-            order = np.argsort(boxes[:, axis], kind="stable")
-            ends = np.maximum.accumulate(boxes[order, axis + 2])
-            widths = boxes[order[1:], axis] - ends[:-1]
-            at = int(np.argmax(widths))
-            scale = max(float((boxes[:, axis + 2] - boxes[:, axis]).mean()), 1e-9)
-            if widths[at] > gap and (best is None or widths[at] / scale > best[0]):
-                best = widths[at] / scale, order[: at + 1], order[at + 1 :]
-        if best:
-            for part in best[1:]:
-                _cut(boxes[part], ids[part], gap, out)
-            return
-        order = np.lexsort((ids, np.round(boxes[:, 0], 2), np.round(boxes[:, 1], 2)))
-        out.extend(ids[order].tolist())
-        return
-    out.extend(ids.tolist())
-
-
-def reading_order(blocks: DataFrame, gap: float = 0.0) -> DataFrame:
-    """(page, id, reading_index) of blocks (page, id, x0, y0, x1, y1): a permutation for each page."""
+def _valley(low: np.ndarray, high: np.ndarray) -> tuple[float, np.ndarray | None]:
+    """The widest empty band between intervals, and which of them begin before its end."""
+    order = np.argsort(low, kind="stable")
+    widths = low[order[1:]] - np.maximum.accumulate(high[order])[:-1]
+    if not len(widths) or widths.max() <= 0:
+        return 0.0, None
+    return float(widths.max()), low < low[order[1:]][widths.argmax()]
+
+
+def xy_order(boxes: np.ndarray, ids: np.ndarray, min_x: float, min_y: float) -> list[int]:
+    """Ids in reading order: regions are split at the valley that is widest in units of what its direction needs (columns first on
+    a tie); a region without a valley is read by top, then left edge, at a hundredth, then id."""
+    out: list[int] = []
+    todo = [np.arange(len(ids))]
+    while todo:
+        at = todo.pop()
+        region = boxes[at]
+        x, left = _valley(region[:, 0], region[:, 2])
+        y, upper = _valley(region[:, 1], region[:, 3])
+        x, y = x / min_x if x >= min_x else 0.0, y / min_y if y >= min_y else 0.0
+        first = left if x and x >= y else upper if y else None
+        if first is None:
+            key = np.round(region * 100)
+            out += ids[at[np.lexsort((ids[at], key[:, 0], key[:, 1]))]].tolist()
+        else:
+            todo += [at[~first], at[first]]
+    return out
+
+
+def reading_order(blocks: DataFrame, min_x: float, min_y: float) -> DataFrame:
+    """(page, id, reading_index) of blocks (page, id, x0, y0, x1, y1): a permutation for each page. The least gaps of columns and rows are over 0."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
         rows = rows.sort_values("id")
-        _cut(rows[["x0", "y0", "x1", "y1"]].to_numpy(), rows["id"].to_numpy(), gap, out)
+        out = xy_order(rows[["x0", "y0", "x1", "y1"]].to_numpy(), rows["id"].to_numpy(), min_x, min_y)
         return pd.DataFrame({"page": rows["page"].iloc[0], "id": out, "reading_index": range(len(out))})
 
     return blocks.groupBy("page").applyInPandas(run, f"page {dict(blocks.dtypes)['page']}, id bigint, reading_index int")

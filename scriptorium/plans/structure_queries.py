@@ -439,7 +439,7 @@ def escalation_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def xy_cut_order(spark: SparkSession, d: str) -> DataFrame:
-    return layout.reading_order(rects(spark, d).select("page", "id", "rect.*"), 0.001)
+    return layout.reading_order(rects(spark, d).select("page", "id", "rect.*"), 0.001, 0.001)
 
 
 @query()
