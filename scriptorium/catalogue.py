@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import structure_queries, text_queries
+from scriptorium.plans import more_queries, structure_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **structure_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE_SQL, **structure_queries.ORACLE_SQL}
+QUERIES = {**text_queries.QUERIES, **structure_queries.QUERIES, **more_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL, **structure_queries.ORACLE_SQL, **more_queries.ORACLE_SQL}
