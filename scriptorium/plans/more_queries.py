@@ -35,6 +35,17 @@ def contents_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+WORDS_SQL = """w as (select l_suppkey % 20 as page, l_linenumber as block_num, l_partkey % 3 as par_num, l_orderkey % 50 as line_num, cast(l_quantity as bigint) * 1000000 + l_orderkey as word_num, l_returnflag || l_linestatus as text,
+ l_discount * 100 as x0, l_tax * 100 as y0, l_discount * 100 + l_quantity as x1, l_tax * 100 + 5 + l_quantity / 10 as y1, l_discount * 10 as confidence from lineitem)"""
+
+
+def reader_words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").selectExpr(
+        "l_suppkey % 20 page", "l_linenumber block_num", "l_partkey % 3 par_num", "l_orderkey % 50 line_num", "cast(l_quantity as bigint) * 1000000 + l_orderkey word_num", "l_returnflag || l_linestatus text",
+        "l_discount * 100 x0", "l_tax * 100 y0", "l_discount * 100 + l_quantity x1", "l_tax * 100 + 5 + l_quantity / 10 y1", "l_discount * 10 confidence",
+    )
+
+
 @query(f"""with {WORDS_SQL}, h as (select page, block_num, par_num, line_num, count(*) as n, string_agg(text, ' ' order by word_num, text) as text, min(x0) as x0, max(x1) as x1, list_sort(list(y1 - y0)) as hs from w group by all),
 s as (select *, hs[len(hs) // 2 + 1] as size from h), m as (select *, quantile_cont(size, 0.5) over (partition by page) as med from s)
 select page, block_num, par_num, line_num, md5(text) as text_md5, round(x0, 4) as x0, round(x1, 4) as x1, round(case when abs(size - med) <= 0.25 * med then med else size end, 4) as size from m""")
