@@ -148,7 +148,7 @@ BOXES_SQL = "r as (select vec_id as id, label % 10 as page, least(embedding[1],
 
 
 @query(f"""with {BOXES_SQL}, g as (select c.page, c.id as caption, i.id as image, c.y0 >= i.y1 as below,
-  sqrt(power(greatest(0, greatest(i.x0, c.x0) - least(i.x1, c.x1)), 2) + power(greatest(0, greatest(i.y0, c.y0) - least(i.y1, c.y1)), 2)) as gap from r c join r i on c.page = i.page and c.id % 2 = 1 and i.id % 2 = 0),
+  sqrt(power(greatest(0, greatest(i.x0, c.x0) - least(i.x1, c.x1)), 2) + power(greatest(0, greatest(i.y0, c.y0) - least(i.y1, c.y1)), 2)) as gap from r c join r i on c.page = i.page and c.x1 - c.x0 < c.y1 - c.y0 and i.x1 - i.x0 >= i.y1 - i.y0),
 s as (select *, gap * case when below then 1.0 else 1.5 end as distance from g where gap <= 0.05),
 o as (select *, row_number() over (partition by page, caption order by distance, image) as r, lead(distance) over (partition by page, caption order by distance, image) as second from s),
 c as (select * from o where r = 1 and (second is null or second >= 1.5 * distance)),
@@ -156,7 +156,8 @@ f as (select *, row_number() over (partition by page, image order by caption) as
 select page, caption, image, round(distance, 6) as distance from f where k = 1""")
 def caption_nearest(spark: SparkSession, d: str) -> DataFrame:
     boxes = rects(spark, d)
-    return rounded(structure.associate_captions(boxes.where("id % 2 = 0"), boxes.where("id % 2 = 1"), 0.05), "distance")
+    wide = F.expr("rect.x1 - rect.x0 >= rect.y1 - rect.y0")  # wide boxes are images, tall ones captions
+    return rounded(structure.associate_captions(boxes.where(wide), boxes.where(~wide), 0.05), "distance")
 
 
 @query("""with m as (select o_custkey % 20 as page, cast(o_orderkey % 30 as varchar) as marker, o_orderkey as id from orders where o_orderstatus = 'O'), n as (select o_custkey % 20 as page, cast(o_orderkey % 30 as varchar) as marker, o_orderkey as id from orders where o_orderstatus = 'F'),
