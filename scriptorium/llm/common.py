@@ -29,8 +29,14 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows of an Arrow batch: what the JVM and a Python worker hold at once, twice over.
+ARROW_ROWS = "2000"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, whatever their path; once for each context."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own setting, nobody's choice
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_scriptorium_shipped", False):
         return

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ HIDDEN, STEPS, BATCH, RATE = 24, 500, 512, 0.01
 #: Words are read in pieces of so many bytes.
 PIECE = 40
 #: A worker forgets its words when it knows so many.
-CACHE = 400_000
+CACHE = 200_000
 UNDETERMINED = "und"
 #: The pipeline rejects documents whose best language has less.
 LEAST_SCORE = 0.3
@@ -155,7 +156,7 @@ def pieces_of(word: str) -> list[bytes]:
     return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
 
 
-def word_sums(net: Network, words: list[str], chunk: int = 4096) -> np.ndarray:
+def word_sums(net: Network, words: list[str], chunk: int = 1024) -> np.ndarray:
     """For each word the sum of its positions' distributions, then their number; zeros for a word without a letter."""
     out = np.zeros((len(words), len(net.langs) + 1))
     pieces, owner = [], []
@@ -179,7 +180,7 @@ class Identifier:
     def __init__(self, net: Network):
         self.net = net
         self.known: dict[str, int] = {}
-        self.sums = np.zeros((0, len(net.langs) + 1))
+        self.sums = np.zeros((0, len(net.langs) + 1), np.float32)
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if len(self.known) > CACHE:
@@ -187,12 +188,12 @@ class Identifier:
         known, spots = self.known, []
         for text in texts:
             spots.append(np.array([known.setdefault(w, len(known)) for w in (text or "").lower().split()], np.int64))
-        new = [*known][len(self.sums) :]
+        new = [*islice(known, len(self.sums), None)]
         if new and self.net.langs:
-            self.sums = np.concatenate([self.sums, word_sums(self.net, new)])
+            self.sums = np.concatenate([self.sums, word_sums(self.net, new).astype(np.float32)])
         out = []
         for at in spots:
-            total = self.sums[at].sum(0) if len(at) and self.net.langs else np.zeros(1)
+            total = self.sums[at].sum(0, dtype=np.float64) if len(at) and self.net.langs else np.zeros(1)
             if total[-1] <= 0:
                 out.append((UNDETERMINED, 0.0))
             else:
@@ -255,8 +256,8 @@ def identify(spark: SparkSession, docs: DataFrame, net: Network, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Identifier(held.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 said = reader(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[f.name for f in schema.fields])
 
