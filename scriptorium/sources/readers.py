@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t\n\r\x0B\f]+"
 
 
+#: Tables whose rows cost much work each.
+HEAVY = ["documents", "pages"]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` as it is where its splits are enough for all cores, as at any large size; a small file of one split is dealt out first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in HEAVY else df
 
 
 def words_of(text: Column) -> Column:
