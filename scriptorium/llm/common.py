@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -49,6 +51,17 @@ def ship_package(spark: SparkSession) -> None:
     sc._scriptorium_shipped = True
 
 
+def give_back() -> None:
+    """At the end of a Python task: free memory goes back to the system, as the worker lives on for other stages."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Workspace:
     """Tables written in the shared folder to cut lineage: a lost executor costs a read, not the work before it.
 

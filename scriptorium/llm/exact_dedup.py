@@ -37,7 +37,9 @@ def update_state(spark: SparkSession, arrivals: str, checkpoint: str, bytes_per_
     """
     store = "spark.sql.streaming.stateStore"
     # without preallocated files, a small store takes what it holds and not 4 MB or more
-    conf = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
+    # and many stores on one executor stay small; those of a query that has ended are unloaded soon
+    small = {f"{store}.rocksdb.writeBufferSizeMB": "16", f"{store}.maintenanceInterval": "10s"}
+    conf = {**small, f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
     was = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)

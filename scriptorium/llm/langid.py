@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import Workspace, column, fresh
+from scriptorium.llm.common import Workspace, column, fresh, give_back
 
 #: Training takes at most so many documents a language, so many characters of each, and so many languages (the most frequent).
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_LANGS = 250, 20_000, 500
@@ -260,6 +260,8 @@ def identify(spark: SparkSession, docs: DataFrame, net: Network, text_col: str =
                 part = batch.slice(at, 500)
                 said = reader(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[f.name for f in schema.fields])
+        del reader
+        give_back()
 
     return given.mapInArrow(run, schema).toDF(*kept, pred, score)
 
