@@ -2,8 +2,10 @@
 
 In each pass the vectors are sorted by a word of random sign hashes, most significant first, and cut into blocks; vectors of
 a block are compared with each other and with the next block's. Every pair that is near
-shares the first bits of some pass with high probability, and then lies in neighbouring blocks.
-Equal vectors are one class from the start, so copies cannot fill a block. A vector carries its block
+shares the first bits of some pass with high probability, and then lies in neighbouring blocks or in the same run: the vectors
+with the same first bits, as many bits as make a run of evenly spread vectors about a block. A run that is wider than two blocks
+is compared in full, stretch against stretch in tasks of a bounded size, so a large group of near copies loses nothing to the width of the window.
+Equal vectors are one class from the start, so copies cannot fill a block. A vector carries its block and run
 of every pass, so that a pair is counted in the first pass that finds it and links never have to be gathered to be told apart.
 """
 
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Workspace, column
+from scriptorium.llm.common import Workspace, column, sized_join
 from scriptorium.llm.components import connected_components
 
 PASSES, BITS, SEED = 16, 48, 20
@@ -64,51 +66,94 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))], names=["digest", "pass", "part", "place"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))], names=[*batch.schema.names, "part", "place"])
         at += n
 
 
+class _Links:
+    """Links of a task's vectors, all of one length, in the pass ``now``, counted tile by tile so that no list of pairs is made."""
+
+    def __init__(self, rows: pd.DataFrame, now: int, least: float):
+        self.now, self.least = now, least
+        self.places, self.runs = np.stack(rows["blocks"].to_list()), np.stack(rows["runs"].to_list())
+        self.copies = rows["copies"].to_numpy().astype(np.float64)
+        x = np.stack(rows["vector"].to_list())
+        self.x = x / np.abs(x).max(1, keepdims=True)  # squares of tiny or huge components stay finite
+        self.size = np.sqrt((self.x * self.x).sum(1))
+        self.links, self.root = np.zeros(len(rows)), np.arange(len(rows))
+
+    def tile(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Compare ``left`` with ``right``, or with itself if it is the same; pairs that an earlier pass compared aren't counted again."""
+        if not len(left) or not len(right):
+            return
+        same = left is right
+        new = np.triu(np.ones((len(left), len(left)), bool), 1) if same else np.ones((len(left), len(right)), bool)
+        for q in range(self.now):
+            new &= self.runs[left, q][:, None] != self.runs[right, q]
+            new &= np.abs(self.places[left, q][:, None] - self.places[right, q]) > 1
+            if not new.any():
+                return
+        near = new & ((self.x[left] @ self.x[right].T) / (self.size[left, None] * self.size[right]) >= self.least)
+        if not near.any():
+            return
+        self.links[left] += near @ self.copies[right]
+        self.links[right] += near.T @ self.copies[left]
+        while True:  # each round joins every row's root with that of a link outside it
+            apart = near & (self.root[left][:, None] != self.root[right])
+            i = np.flatnonzero(apart.any(1))
+            if not len(i):
+                return
+            for p, q in {*zip(self.root[left[i]].tolist(), self.root[right[apart[i].argmax(1)]].tolist(), strict=True)}:
+                p, q = self._find(p), self._find(q)
+                self.root[max(p, q)] = min(p, q)
+            while (up := self.root[self.root] != self.root).any():
+                self.root[up] = self.root[self.root[up]]
+
+    def _find(self, i: int) -> int:
+        while self.root[i] != i:
+            i = self.root[i]
+        return i
+
+    def found(self, rows: pd.DataFrame) -> pd.DataFrame:
+        ids, some = rows["id"].to_numpy(), np.flatnonzero(self.links)
+        return pd.DataFrame({"id": ids[some], "digest": rows["digest"].to_numpy()[some], "links": self.links[some].astype(np.int64), "other": ids[self.root[some]]})
+
+
+FOUND = "id bigint, digest binary, links bigint, other bigint"
+
+
 def _compare(least: float, blocks_a_task: int):
     """Links of the vectors of some neighbouring blocks: (id, links, other); ``other`` joins each with its root in this task, where it has one."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         now, first = int(key[0]), int(key[1]) * blocks_a_task
-        ids, copies = rows["id"].to_numpy(), rows["copies"].to_numpy()
-        places = np.stack(rows["blocks"].to_list())
-        own = places[:, now]
-        links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        dims = rows["vector"].map(len).to_numpy()
+        dims, out = rows["vector"].map(len).to_numpy(), []
         for dim in np.unique(dims):
-            has = dims == dim
+            some = rows[dims == dim].reset_index(drop=True)
+            links = _Links(some, now, least)
+            at = {b: np.flatnonzero(links.places[:, now] == b) for b in range(first, first + blocks_a_task + 1)}
             for b in range(first, first + blocks_a_task):
-                left, right = np.flatnonzero(has & (own == b)), np.flatnonzero(has & (own == b + 1))
-                if not len(left):
-                    continue
-                both = np.concatenate([left, right])
-                x = np.stack(rows["vector"].iloc[both].to_list())
-                x /= np.abs(x).max(1, keepdims=True)  # squares of tiny or huge components stay finite
-                size = np.sqrt((x * x).sum(1))
-                i, j = np.nonzero((x[: len(left)] @ x.T) / (size[: len(left), None] * size) >= least)
-                keep = j > i  # each pair once; right ones come after all left ones
-                i, j = both[i[keep]], both[j[keep]]
-                if now and len(i):
-                    new = (np.abs(places[i, :now] - places[j, :now]) > 1).all(1)
-                    i, j = i[new], j[new]
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    p, q = find(p), find(q)
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-        some = np.flatnonzero(links)
-        return pd.DataFrame({"id": ids[some], "digest": rows["digest"].to_numpy()[some], "links": links[some], "other": [ids[find(i)] for i in some.tolist()]})
+                links.tile(at[b], at[b])
+                links.tile(at[b], at[b + 1])
+            out.append(links.found(some))
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
+def _compare_run(least: float, blocks_a_task: int):
+    """As ``_compare``, of one or two stretches of blocks of a wide run: the pairs of blocks that aren't neighbours."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        now, one, two = int(key[0]), int(key[3]), int(key[4])
+        links = _Links(rows, now, least)
+        own = links.places[:, now]
+        at = {b: np.flatnonzero(own == b) for b in np.unique(own).tolist()}
+        for a in at:
+            for b in at:
+                if b > a + 1 and a // blocks_a_task == one and b // blocks_a_task == two:
+                    links.tile(at[a], at[b])
+        return links.found(rows)
 
     return run
 
@@ -120,7 +165,7 @@ def embedding_components(spark: SparkSession, vectors: DataFrame, least: float =
     copies included; component_id is the smallest identifier reachable; kept marks its row.
     A vector that is null, empty or zero, or has a null or non-finite component, links with nothing; so do vectors of different lengths
     with each other. Rows that repeat an identifier are rows of their own. A null identifier keeps a null component. No rows: no rows. Other
-    columns aren't read. No pair below ``least`` is linked; a pair is missed if no pass brings it into neighbouring blocks.
+    columns aren't read. No pair below ``least`` is linked; a pair is missed if no pass brings it into neighbouring blocks or the same run.
     """
     ws = Workspace(spark, "embedding-dedup")
     given = vectors.select(column(vectors, id_col).cast("long").alias("vec_id"), column(vectors, vector_col).cast("array<double>").alias("vector"))
@@ -130,21 +175,37 @@ def embedding_components(spark: SparkSession, vectors: DataFrame, least: float =
     ones = ws.keep(base.join(classes, "digest").where("vec_id <=> id").select("digest", "id", "copies", "codes", "vector").dropDuplicates(["digest"]), "ones")
     n = ones.count()
 
+    run_bits = min(BITS, max(0, (n - 1) // block).bit_length())
     order = ones.select("digest", F.size("vector").alias("dim"), F.posexplode("codes").alias("pass", "code"))
-    order = order.repartitionByRange("pass", "dim", "code", "digest").sortWithinPartitions("pass", "dim", "code", "digest").select("digest", "pass")
-    placed = ws.keep(order.mapInArrow(_numbered, "digest binary, pass int, part int, place bigint"), "placed")
+    order = order.select("digest", "pass", "dim", "code", F.shiftright("code", BITS - run_bits).alias("run"), F.xxhash64("pass", "digest").alias("tie"))  # equal codes in another order in each pass
+    sort = ["pass", "dim", "code", "tie", "digest"]
+    order = order.repartitionByRange(*sort).sortWithinPartitions(*sort).select("digest", "pass", "dim", "run")
+    placed = ws.keep(order.mapInArrow(_numbered, "digest binary, pass int, dim int, run bigint, part int, place bigint"), "placed")
     ends = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a number for each partition
     begins = dict(zip(sorted(ends), np.cumsum([0, *(ends[p] for p in sorted(ends))]).tolist(), strict=False))
     begin = spark.createDataFrame([*begins.items()], "part int, begin bigint")
-    blocks = placed.join(F.broadcast(begin), "part").select("digest", "pass", F.floor((F.col("begin") + F.col("place") - F.col("pass") * F.lit(n)) / block).cast("int").alias("block"))
-    blocks = blocks.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("pass", "block"))).getField("block").alias("blocks"))
-
-    spread = ones.drop("codes").join(blocks, "digest").select("*", F.posexplode("blocks").alias("pass", "block"))
+    blocks = placed.join(F.broadcast(begin), "part").select("digest", "pass", "dim", "run", F.floor((F.col("begin") + F.col("place") - F.col("pass") * F.lit(n)) / block).cast("int").alias("block"))
+    wide = blocks.groupBy("pass", "dim", "run").agg(F.min("block").alias("first"), F.max("block").alias("last")).where("last - first > 1")
+    wide = ws.keep(wide, "wide")
+    blocks = blocks.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("pass", "block", "run"))).alias("at"))
+    blocks = blocks.select("digest", F.col("at.block").alias("blocks"), F.col("at.run").alias("runs"))
+    spread = ws.keep(ones.drop("codes").join(blocks, "digest"), "spread")
+
+    held = ["id", "digest", "copies", "vector", "blocks", "runs"]
+    near = spread.select(*held, F.posexplode("blocks").alias("pass", "block"))
     task = F.floor(F.col("block") / blocks_a_task)
-    spread = spread.select("id", "digest", "copies", "vector", "blocks", "pass", F.explode(F.when((F.col("block") % blocks_a_task == 0) & (task > 0), F.array(task, task - 1)).otherwise(F.array(task))).alias("task"))
-    found = spread.groupBy("pass", "task").applyInPandas(_compare(least, blocks_a_task), "id bigint, digest binary, links bigint, other bigint")
+    near = near.select(*held, "pass", F.explode(F.when((F.col("block") % blocks_a_task == 0) & (task > 0), F.array(task, task - 1)).otherwise(F.array(task))).alias("task"))
+    found = near.groupBy("pass", "task").applyInPandas(_compare(least, blocks_a_task), FOUND)
+    if n_wide := wide.count():
+        inside = spread.select(*held, F.size("vector").alias("dim"), F.posexplode("runs").alias("pass", "run"))
+        inside = sized_join(inside, wide, ["pass", "dim", "run"], "inner", n_wide)
+        own = F.floor(F.get("blocks", F.col("pass")) / blocks_a_task)
+        stretches = F.sequence(F.floor(F.col("first") / blocks_a_task), F.floor(F.col("last") / blocks_a_task))
+        inside = inside.select(*held, "pass", "dim", "run", own.alias("own"), F.explode(stretches).alias("stretch"))
+        inside = inside.select(*held, "pass", "dim", "run", F.least("own", "stretch").alias("one"), F.greatest("own", "stretch").alias("two"))
+        found = found.union(inside.groupBy("pass", "dim", "run", "one", "two").applyInPandas(_compare_run(least, blocks_a_task), FOUND))
     found = ws.keep(found, "found")
-    ws.drop("placed", "ones")
+    ws.drop("placed", "ones", "spread", "wide")
 
     components = connected_components(spark, found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counted = found.groupBy("digest").agg(F.sum("links").alias("links"))

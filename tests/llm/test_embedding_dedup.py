@@ -57,3 +57,14 @@ def test_a_large_group_of_equal_vectors(spark):
     df = spark.range(3000).selectExpr("id vec_id", "if(id < 2000, array(1f, 2f, 3f), array(cast(id as float), -1f, cast(id % 7 as float))) embedding")
     rows = {r["vec_id"]: r for r in E.embedding_components(spark, df, block=64).collect()}
     assert all(rows[i]["n_links"] == 1999 and rows[i]["component_id"] == 0 for i in range(2000))
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=32)
+    x = np.concatenate([base + rng.normal(size=(1500, 32)) * 0.15, base * rng.uniform(1, 2, (500, 1)), rng.normal(size=(1000, 32))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(5)
+    have = np.array([r["n_links"] for r in E.embedding_components(spark, df, block=64, blocks_a_task=4).orderBy("vec_id").collect()])
+    assert (have <= want).all() and have.sum() >= 0.99 * want.sum() and (have[1500:2000] >= 499).all()
