@@ -1,6 +1,6 @@
 """Licence recognition by sentences and rules, in built-in functions only.
 
-A text is cut into sentences; each is normalised and mapped to the identifier of a known licence sentence, or to ``?``. Then
+Known sentences that run over line ends or colons are joined first. A text is cut into sentences; each is normalised and mapped to the identifier of a known licence sentence, or to ``?``. Then
 ordered rules, longer ones first, look for their sequence of identifiers; a rule that matches takes its identifiers out, so
 that a later, shorter rule does not match the same sentences. No shuffle and no Python.
 """
@@ -35,6 +35,21 @@ SENTENCES = {
     "this program is distributed in the hope that it will be useful but without any warranty": "GPL-warranty",
     "all rights reserved": "reserved",
 }
+# Sentences as the full licence texts have them. OP2_SQL knows only those above, on one line each.
+WHOLE = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MIT-grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MIT-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MIT-warranty",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3": "GPL-3.0-ref",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "GPL-3.0-ref",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2": "GPL-2.0-ref",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "GPL-2.0-ref",
+}
+KNOWN = SENTENCES | WHOLE
+# Sentences with a name of their own, ``*``, and the known sentence that they are.
+NAMED = {
+    "neither the name of * may be used to endorse or promote products derived from this software without specific prior written permission": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+}
 # Rules in the order in which they are tried.
 RULES = [
     ("MIT", ["MIT-grant", "MIT-notice", "MIT-warranty"]),
@@ -54,20 +69,34 @@ RULES = [
     ("all-rights-reserved", ["reserved"]),
 ]
 # Every known sentence has one of these words, so a text without them needs no cutting.
-HINTS = ["licen", "permission", "warranty", "redistribut", "copyright", "all rights", "endorse"]
+HINTS = ["licen", "permission", "warranty", "redistribut", "copyright", "reserved", "endorse"]
 BREAK = "[.!?;:]+[ \t\r]+|[\n]+"
 NOT_WORD = "[^a-z0-9]+"
+# A joined sentence begins and ends where BREAK cuts; a list number before it goes. Its words are apart by anything but a sentence end or a blank line.
+BEGIN = r"(?<=^|\n|[.!?;:][ \t\r])[^a-z0-9\n]*(?:(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})[.)][ \t]+)?[^a-z0-9\n]*"
+BETWEEN = r"(?![^a-z0-9]*?(?:[.!?][ \t\r\n]|\n[ \t\r]*\n))[^a-z0-9]++"
+NAME = r"[^\n!?;:]*?(?:\n(?![ \t\r]*\n)[^\n!?;:]*?){0,5}?"
+END = r"(?=[^a-z0-9]*?(?:[.!?;:][ \t\r]|\n|\z))"
+
+
+def _joined(lowered: Column, sentences: dict[str, str]) -> Column:
+    """The text with each known sentence on one line, longer ones first; only those whose longest word it has are looked for."""
+    lines = {s: s for s in sentences} | {s: line for s, line in NAMED.items() if line in sentences}
+    longest_first = sorted(lines, key=lambda s: (-len(s), s))
+    patterns = {s: BEGIN + BETWEEN.join(NAME if w == "*" else w for w in s.split()) + END for s in lines}
+    table = F.array(*[F.struct(F.lit(max(s.split(), key=len)).alias("word"), F.lit(patterns[s]).alias("pattern"), F.lit(lines[s]).alias("line")) for s in longest_first])
+    return F.aggregate(table, lowered, lambda acc, r: F.when(F.contains(acc, r["word"]), F.regexp_replace(acc, r["pattern"], r["line"])).otherwise(acc))
 
 
 def _ids(text: Column, sentences: dict[str, str]) -> Column:
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    lowered = lower_ascii(text)
+    lowered = _joined(lower_ascii(text), sentences)
     said = F.transform(F.split(lowered, BREAK), lambda s: F.trim(F.regexp_replace(s, NOT_WORD, " ")))
     said = F.filter(said, lambda s: s != "")
     return F.transform(said, lambda s: F.coalesce(F.try_element_at(known, s), F.lit("?")))
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, sentences: dict[str, str] = KNOWN, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """The columns ``keep`` (all, unless given) and: n_known (licence sentences), sequence (their identifiers with ``?`` for runs of others, between commas) and licenses (the names of
     the rules that match, in their order, without repetition, between commas).
 
