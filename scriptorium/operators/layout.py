@@ -10,27 +10,28 @@ from pyspark.sql import functions as F
 from scriptorium.config import DEFAULT, Thresholds
 
 
-def two_means_threshold(gaps: list[float], resolution: float = 0.05, separation: float = 2.0, rounds: int = 32) -> float | None:
-    """The midpoint of two clusters of gaps (from the extremes; ties go low), or None if they aren't apart."""
-    x = np.sort(np.array([g for g in gaps if g is not None], float))
-    if len(x) < 2 or x[-1] - x[0] <= resolution:
+def two_means_threshold(gaps: list[float], resolution: float = 0.05, separation: float = 2.0, rounds: int = 32, counts: list[int] | None = None) -> float | None:
+    """The midpoint of two clusters of gaps (from the extremes; ties go low), or None if they aren't apart. A gap counts as often as ``counts`` says, or once."""
+    known = [(g, c) for g, c in zip(gaps, [1] * len(gaps) if counts is None else counts, strict=True) if g is not None and c > 0]
+    x, n = np.array(sorted(known), float).reshape(-1, 2).T
+    if n.sum() < 2 or x[-1] - x[0] <= resolution:
         return None
     low, high = x[0], x[-1]
     for _ in range(rounds):
         is_low = np.abs(x - low) <= np.abs(x - high)
         if is_low.all() or not is_low.any():
             return None
-        low, high = x[is_low].mean(), x[~is_low].mean()
-    spread = np.abs(x - np.where(is_low, low, high)).mean()
+        low, high = np.average(x[is_low], weights=n[is_low]), np.average(x[~is_low], weights=n[~is_low])
+    spread = np.average(np.abs(x - np.where(is_low, low, high)), weights=n)
     return float((low + high) / 2) if (high - low) / max(spread, resolution) >= separation else None
 
 
 def space_thresholds(gaps: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, threshold) of rows (keys, gap): a grouped function, after gaps are counted to a hundredth so that a group's size is bounded."""
+    """(keys, n, threshold) of rows (keys, gap): a grouped function, after gaps are counted to a hundredth so that a group's size is bounded; counts are weights."""
     counted = gaps.where("gap >= 0").groupBy(*keys, F.round("gap", 2).alias("gap")).agg(F.count("*").alias("n"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = two_means_threshold(rows["gap"].repeat(rows["n"].clip(upper=1000)).tolist())
+        found = two_means_threshold(rows["gap"].tolist(), counts=rows["n"].tolist())
         return pd.DataFrame([[*key, int(rows["n"].sum()), found]], columns=[*keys, "n", "threshold"])
 
     schema = ", ".join(f"`{k}` {dict(gaps.dtypes)[k]}" for k in keys) + ", n bigint, threshold double"

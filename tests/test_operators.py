@@ -219,6 +219,17 @@ def test_geometry(spark):
     assert [r["line"] for r in layout.cluster_baselines(items).orderBy("id").collect()] == [0, 0, 1]
 
 
+def test_space_thresholds_do_not_depend_on_the_size(spark):
+    counts = {0.1: 900, 1.0: 90, 2.0: 90, 5.0: 300}
+    gaps = spark.createDataFrame([*counts.items()], "gap double, n int")
+    want = layout.two_means_threshold([g for g, n in counts.items() for _ in range(n)])
+    for times in (1, 10, 50):
+        repeated = gaps.select(F.lit("a").alias("key"), "gap", F.explode(F.sequence(F.lit(1), F.col("n") * times)))
+        row = layout.space_thresholds(repeated, ["key"]).first()
+        assert row["n"] == 1380 * times and row["threshold"] == pytest.approx(want)
+    assert layout.two_means_threshold([0.1, 3.0], counts=[10**12, 1]) == pytest.approx(1.55)
+
+
 def test_classes(spark):
     cases = [((100, 0, 0.9, 100), "OcrSandwich"), ((5, 0, 0.9, 0), "ImageOnly"), ((0, 0, 0.0, 0), "Blank"), ((100, 30, 0.0, 0), "BrokenText"), ((100, 0, 0.0, 0), "Text"), ((30, 0, 0.7, 0), "Mixed"), ((100, 0, 0.7, 0), "Mixed")]
     df = spark.createDataFrame([c for c, _ in cases], "v int, b int, a double, h int")
