@@ -89,10 +89,17 @@ class ShardStore:
         return [Shard(f.getPath().toString(), f.getLen(), version) for f in self._list(folder) if f.getPath().getName().startswith("part-")]
 
     def append(self, df: DataFrame) -> int:
-        """The rows of ``df`` as new shards, a file for each of its partitions; no rows: no new version."""
+        """The rows of ``df`` as new shards, a file for each of its partitions; no rows: no new version.
+
+        Columns are matched by name, in any case. A column that the store doesn't know widens its schema, with null in the rows before; a
+        nullable column that ``df`` lacks is null, and the lack of another is an error.
+        """
         version, shards, schema = self.manifest()
         if schema is not None and schema != df.schema:
-            df = df.select(*[df["`" + f.name.replace("`", "``") + "`"].cast(f.dataType) for f in schema.fields])
+            known, given = {f.name.lower() for f in schema.fields}, {f.name.lower() for f in df.schema.fields}
+            schema = T.StructType([*schema.fields, *(T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name.lower() not in known)])
+            lacks = {f.name for f in schema.fields if f.nullable and f.name.lower() not in given}
+            df = df.select(*[(F.lit(None) if f.name in lacks else df["`" + f.name.replace("`", "``") + "`"]).cast(f.dataType).alias(f.name) for f in schema.fields])
         new = self._write(df, version + 1)
         if not new:
             return version

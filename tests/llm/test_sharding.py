@@ -60,3 +60,15 @@ def test_odd_rows(spark, odd_docs):
     assert sorted(map(str, store.read().collect())) == sorted(map(str, odd_docs.collect()))
     empty = shard_arrivals(spark, odd_docs.limit(0), table_path(spark, "store"))
     assert empty.manifest()[0] == 0 or empty.read().count() == 0
+
+
+def test_a_further_column_widens_the_schema(spark):
+    store = ShardStore(spark, table_path(spark, "store"), fan_in=3)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"))
+    store.append(spark.createDataFrame([("b", 0.5, 2)], "TEXT string, `the.score` double, doc_id int"))
+    store.append(spark.createDataFrame([(3, "c")], "doc_id bigint, text string"))
+    want = [(1, "a", None), (2, "b", 0.5), (3, "c", None)]
+    assert store.read().columns == ["doc_id", "text", "the.score"] and sorted(map(tuple, store.read().collect())) == want
+    store.compact()
+    assert len(store.manifest()[1]) < 3 and sorted(map(tuple, store.read().collect())) == want
+    assert store.read(1).columns == ["doc_id", "text"]
