@@ -71,3 +71,15 @@ def test_best_fit_takes_the_fullest_window():
     assert out[1] == [("b", 5), ("d", 4), ("f", 1)]
     p.finish()
     assert [sum(n for _, n in w) for w in out[2:]] == [10] and len(p.free) == 0
+
+
+def test_special_tokens_in_a_text_have_their_ids(spark):
+    plain = Tokenizer.from_file(FILES[0])
+    docs = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|><|endoftext|>\n y"), (4, "<|endoftext"), (5, "a b")]
+    ids_of = lambda text: plain.encode(text, add_special_tokens=False).ids
+    assert ids_of(docs[0][1]) == [64, 220, 50256, 275]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for files in (FILES, FILES[:1]):
+        rows = K.pack(spark, df, *files, ids=True).collect()
+        check(rows, docs, ids_of)
+        assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {d: len(ids_of(t)) + 1 for d, t in docs}
