@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,13 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most so many rows of a few numbers each.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or a new one where that is unset (tests on one machine)."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Where that is unset, a new one if all run in one process (tests), else an error, as a machine's own folder would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='scriptorium-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,14 +34,15 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Rows of an Arrow batch: what the JVM and a Python worker hold at once, twice over.
-ARROW_ROWS = "2000"
+#: Rows and bytes of an Arrow batch: what the JVM and a Python worker hold at once, twice over. Set where Spark's own settings stand.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
 
 
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, whatever their path; once for each context."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own setting, nobody's choice
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for key, (usual, own) in ARROW.items():
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, own)
     sc = spark.sparkContext
     if getattr(sc, "_scriptorium_shipped", False):
         return
@@ -65,11 +69,15 @@ def give_back() -> None:
 class Workspace:
     """Tables written in the shared folder to cut lineage: a lost executor costs a read, not the work before it.
 
-    ``keep`` writes and rereads a frame; ``drop`` removes tables that no later step reads.
+    ``keep`` writes and rereads a frame; ``drop`` removes tables that no later step reads. What is left is read by the frame that an operator returns;
+    ``clean_up`` removes it once that has been written.
     """
 
+    made: list[tuple[SparkSession, str]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.paths = spark, table_path(spark, name), {}
+        Workspace.made.append((spark, self.root))
         ship_package(spark)
 
     def path(self, name: str) -> str:
@@ -93,6 +101,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove the tables of all operators that this session has run; frames that they returned can't be read any more."""
+    for own, root in Workspace.made:
+        if own is spark:
+            remove(spark, root)
+    Workspace.made = [x for x in Workspace.made if x[0] is not spark]
+
+
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
     """Join with ``right`` broadcast if it has at most BROADCAST_ROWS rows (counted here unless given), else by shuffle with AQE's skew handling."""
     n = right.count() if rows is None else rows

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +15,14 @@ def connected_components(spark: SparkSession, links: DataFrame, a: str = "a", b:
 
     Each step needs one minimum per node (pre-aggregated before the shuffle) and one join
     (which AQE splits where a node has very many links), so no neighbourhood is ever
-    gathered in one task. Steps end when the links no longer change; the links of a step
+    gathered in one task. Steps end when the links no longer change and not before; the links of a step
     are a written table, so lineage stays short. No links: no rows. Null ids and
     links of an id with itself are ignored.
     """
     ws = Workspace(spark, "components")
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     edges, before = ws.keep(edges, "edges0"), None
-    for i in range(1, 200):
+    for i in count(1):
         seen = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if seen == before or not seen[0]:
             break
