@@ -8,14 +8,13 @@ def test_gradients_are_those_of_the_loss():
     net = L.Network(["a", "b", "c"], hidden=3)
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
-    tokens, mask = L.padded([b" ab ", b" cde ", b"x"])
+    tokens = np.ascontiguousarray(np.frombuffer(b" ab  cde x y ", np.uint8)[:12].reshape(3, 4).T)
     labels = np.array([0, 1, 2])
 
     def loss():
-        prob = net.positions(tokens, mask)
-        return -(np.log(prob[:, np.arange(3), labels]) * mask).sum() / mask.sum()
+        return -np.log(net.positions(tokens)[:, labels, np.arange(3)]).mean()
 
-    _, grads = net.gradients(tokens, mask, labels)
+    _, grads = net.gradients(tokens, labels)
     rng = np.random.default_rng(0)
     for k, v in net.p.items():
         flat = v.reshape(-1)
@@ -67,11 +66,33 @@ def test_odd_rows(spark, odd_docs):
     assert {r["lang_pred"] for r in L.identify(spark, odd_docs, L.Network([]), keep=["doc_id"]).collect()} == {"und"}
 
 
-def test_words_are_read_once_and_forgotten(monkeypatch):
+def test_numerals_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ ١٢ 3"), (3, "ª"), (4, "語"), (5, "½ ² x")], "doc_id bigint, text string")
     net = L.Network(["a", "b"])
-    once = L.Identifier(net)(["ab cd", "cd ef ab", "1 2"])
-    monkeypatch.setattr(L, "CACHE", 1)
-    again = L.Identifier(net)
-    later = [again([t])[0] for t in ("ab cd", "cd ef ab", "1 2")]
-    assert [x for x, _ in later] == [x for x, _ in once]
-    assert [x for _, x in later] == pytest.approx([x for _, x in once], abs=1e-6)
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in L.identify(spark, df, net).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_a_text_is_read_the_same_whatever_is_read_with_it(monkeypatch):
+    net = L.Network(["a", "b"])
+    texts = [b"ab cd", "Straße über".encode() * 60, b"1 2", None, ("語" * 500).encode(), b"cd " * 400]
+    together = L.predict(net, texts)
+    assert together == [L.predict(net, [t])[0] for t in texts]
+    monkeypatch.setattr(L, "CELLS", 1)
+    assert together == L.predict(net, texts)
+
+
+def test_every_position_counts_once_and_windows_end_between_characters():
+    net, text = L.Network(["a", "b", "c"]), L.folded("Ünï 語 cödé 12 -- und so wéiter ".encode() * 40)
+    sums = L.window_sums(net, [text, text[:0], text[:7]], core=16, context=4)
+    assert sums[:, -1].tolist() == [len(text), 0, 7]
+    assert np.allclose(sums[:, :-1].sum(1), sums[:, -1], rtol=1e-5)
+    whole = net.positions(np.concatenate([np.full(16, 32, np.uint8), text[:150], np.full(16, 32, np.uint8)])[:, None])[16:-16, :, 0].sum(0)
+    assert np.allclose(L.window_sums(net, [text[:150]])[0, :-1], whole, rtol=1e-4)
+
+
+def test_long_training_texts_are_read_whole(spark):
+    rows = [(i, "x" * 30_000 + (" abc" if i % 2 else " def"), "ab"[i % 2]) for i in range(40)]
+    net = L.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), steps=1)
+    assert net.langs == ["a", "b"]
+    few = L.fit(spark.createDataFrame([(i, "abc", f"l{i % 30:02}") for i in range(300)], "doc_id bigint, text string, lang string"), train_all=30, steps=1)
+    assert len(few.langs) == 30  # no language is left out, whatever their number
