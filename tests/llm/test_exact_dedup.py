@@ -49,8 +49,28 @@ def test_large_group_and_empty_table(spark, odd_docs):
 def test_state_is_kept_between_arrivals(spark, tmp_path):
     folder, state = f"file://{tmp_path}/arrivals", f"file://{tmp_path}/state"
     put = lambda rows: spark.createDataFrame(rows, X.ARRIVAL).coalesce(1).write.mode("append").parquet(folder)
-    put([(1, b"a", "p"), (2, b"b", "p")])
+    put([(1, b"a", 5, 0), (2, b"b", 5, 1)])
     X.update_state(spark, folder, state).count()
-    put([(7, b"a", "q")])
-    got = {bytes(r["digest"]): (r["keep_id"], r["locator"], r["group_size"]) for r in X.update_state(spark, folder, state).collect()}
-    assert got == {b"a": (7, "q", 2), b"b": (2, "p", 1)}
+    put([(7, b"a", 6, 0)])
+    got = {bytes(r["digest"]): (r["keep_id"], r["keep_file"], r["keep_row"], r["group_size"]) for r in X.update_state(spark, folder, state).collect()}
+    assert got == {b"a": (7, 6, 0, 2), b"b": (2, 5, 1, 1)}
+
+
+def test_the_locator_is_where_the_text_is(spark, odd_docs, tmp_path):
+    path = f"file://{tmp_path}/some docs"
+    odd_docs.repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    places = docs.select("doc_id", "text", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    texts = {(r["file"], r["row"]): (r["doc_id"], (r["text"] or "").translate(LOWER)) for r in places.collect()}
+    found = X.exact_dedup(spark, docs).collect()
+    assert len(found) == 11
+    for r in found:
+        keep_id, text = texts[r["keep_file"], r["keep_row"]]
+        assert keep_id == r["keep_id"] and hashlib.sha256(text.encode()).digest() == bytes(r["digest"])
+
+
+def test_null_identifiers_are_told_apart_by_their_bytes(spark):
+    rows = [(None, "a"), (None, "b"), (None, "a"), (3, "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    weak = X.exact_dedup(spark, df, digest=lambda c: F.unhex(F.lit("00")))
+    assert order(x[:4] for x in result(weak)) == order(x[:4] for x in brute(rows))
