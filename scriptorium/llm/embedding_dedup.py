@@ -7,33 +7,50 @@ with the same first bits, as many bits as make a run of evenly spread vectors ab
 is compared in full, stretch against stretch in tasks of a bounded size, so a large group of near copies loses nothing to the width of the window.
 Equal vectors are one class from the start, so copies cannot fill a block. A vector carries its block and run
 of every pass, so that a pair is counted in the first pass that finds it and links never have to be gathered to be told apart.
+The more vectors, the more bits a run has, and the more passes are made, so that the chance of missing a pair at the limit stays as it is. Classes are
+named by a hash of their vectors, never by an identifier, so rows that share an identifier alone have nothing to do with each other.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import Workspace, column, sized_join
 from scriptorium.llm.components import connected_components
 
-PASSES, BITS, SEED = 16, 48, 20
+BITS, SEED = 48, 20
+#: So many passes at least, and as many as leave a pair at the limit unfound with this chance at most, if sign bits were all that brings pairs together.
+PASSES, MISS = 12, 0.002
 #: Vectors in a block, and blocks in a task.
 BLOCK, BLOCKS = 512, 8
 
 
-def projections(dim: int, passes: int = PASSES) -> np.ndarray:
+def bits_of_run(n: int, block: int = BLOCK) -> int:
+    """Bits that make a run of ``n`` evenly spread vectors about a block."""
+    return min(BITS, max(0, (n - 1) // block).bit_length())
+
+
+def passes_for(n: int, least: float, block: int = BLOCK) -> int:
+    """Passes for ``n`` vectors: two at cosine ``least`` agree in all the bits of a run, in one pass or more, but for a chance of MISS."""
+    agree = (1 - math.acos(min(1.0, max(-1.0, least))) / math.pi) ** bits_of_run(n, block)
+    return PASSES if agree >= 1 else max(PASSES, math.ceil(math.log(MISS) / math.log1p(-agree)))
+
+
+def projections(dim: int, passes: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).normal(size=(dim, passes * BITS))
 
 
-def codes(vectors: np.ndarray, passes: int = PASSES) -> np.ndarray:
+def codes(vectors: np.ndarray, passes: int) -> np.ndarray:
     """(n, passes) words of BITS sign bits, first hash most significant."""
     bits = (vectors @ projections(vectors.shape[1], passes) > 0).reshape(len(vectors), passes, BITS)
     return bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
@@ -86,14 +103,22 @@ class _Links:
         """Compare ``left`` with ``right``, or with itself if it is the same; pairs that an earlier pass compared aren't counted again."""
         if not len(left) or not len(right):
             return
-        same = left is right
-        new = np.triu(np.ones((len(left), len(left)), bool), 1) if same else np.ones((len(left), len(right)), bool)
-        for q in range(self.now):
-            new &= self.runs[left, q][:, None] != self.runs[right, q]
-            new &= np.abs(self.places[left, q][:, None] - self.places[right, q]) > 1
-            if not new.any():
-                return
-        near = new & ((self.x[left] @ self.x[right].T) / (self.size[left, None] * self.size[right]) >= self.least)
+        near = (self.x[left] @ self.x[right].T) / (self.size[left, None] * self.size[right]) >= self.least
+        if left is right:
+            near = np.triu(near, 1)
+        i, j = np.nonzero(near)
+        if not len(i):
+            return
+        if self.now and 16 * len(i) < near.size:
+            one, two = left[i], right[j]
+            met = np.zeros(len(i), bool)
+            for q in range(self.now):
+                met |= (self.runs[one, q] == self.runs[two, q]) | (np.abs(self.places[one, q] - self.places[two, q]) <= 1)
+            near[i[met], j[met]] = False
+        elif self.now:
+            for q in range(self.now):
+                near &= self.runs[left, q][:, None] != self.runs[right, q]
+                near &= np.abs(self.places[left, q][:, None] - self.places[right, q]) > 1
         if not near.any():
             return
         self.links[left] += near @ self.copies[right]
@@ -116,10 +141,15 @@ class _Links:
 
     def found(self, rows: pd.DataFrame) -> pd.DataFrame:
         ids, some = rows["id"].to_numpy(), np.flatnonzero(self.links)
-        return pd.DataFrame({"id": ids[some], "digest": rows["digest"].to_numpy()[some], "links": self.links[some].astype(np.int64), "other": ids[self.root[some]]})
+        return pd.DataFrame({"id": ids[some], "links": self.links[some].astype(np.int64), "other": ids[self.root[some]]})
+
+
+FOUND = "id bigint, links bigint, other bigint"
 
 
-FOUND = "id bigint, digest binary, links bigint, other bigint"
+def _named(salt: int) -> Column:
+    """A class's name: a hash of its vector's digest."""
+    return F.xxhash64("digest", F.lit(salt))
 
 
 def _compare(least: float, blocks_a_task: int):
@@ -158,24 +188,32 @@ def _compare_run(least: float, blocks_a_task: int):
     return run
 
 
-def embedding_components(spark: SparkSession, vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", passes: int = PASSES, block: int = BLOCK, blocks_a_task: int = BLOCKS) -> DataFrame:
+def embedding_components(spark: SparkSession, vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", passes: int | None = None, block: int = BLOCK, blocks_a_task: int = BLOCKS) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Two rows link if the cosine of their vectors, in double precision, is ``least`` or more. n_links counts the other rows linked directly,
     copies included; component_id is the smallest identifier reachable; kept marks its row.
     A vector that is null, empty or zero, or has a null or non-finite component, links with nothing; so do vectors of different lengths
-    with each other. Rows that repeat an identifier are rows of their own. A null identifier keeps a null component. No rows: no rows. Other
-    columns aren't read. No pair below ``least`` is linked; a pair is missed if no pass brings it into neighbouring blocks or the same run.
+    with each other. Rows that repeat an identifier are rows of their own, and link by their vectors. A null identifier is larger than all others; a component without another has a null name, and its rows
+    are kept. No rows: no rows. Other columns aren't read. No pair below ``least`` is linked; a pair is missed if no pass brings it into neighbouring blocks or the same run.
+    There are ``passes_for`` passes unless ``passes`` says how many.
     """
     ws = Workspace(spark, "embedding-dedup")
     given = vectors.select(column(vectors, id_col).cast("long").alias("vec_id"), column(vectors, vector_col).cast("array<double>").alias("vector"))
-    base = ws.keep(given.mapInArrow(_encode(passes), "vec_id bigint, digest binary, codes array<bigint>, vector array<double>"), "base")
-    classes = base.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    classes = ws.keep(classes, "classes")
-    ones = ws.keep(base.join(classes, "digest").where("vec_id <=> id").select("digest", "id", "copies", "codes", "vector").dropDuplicates(["digest"]), "ones")
+    passes = passes or passes_for(given.count(), least, block)
+    base = given.mapInArrow(_encode(passes), "vec_id bigint, digest binary, codes array<bigint>, vector array<double>")
+    base = ws.keep(base.withColumn("row", F.monotonically_increasing_id()), "base")
+    classes = base.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col("vec_id").isNull().alias("nameless"), "vec_id", "row")).alias("first"), F.count("*").alias("copies"))
+    classes = ws.keep(classes, "digests")
+    for salt in count():  # until no two classes have the same name, which is nearly always the first
+        name = _named(salt)
+        if classes.groupBy(name.alias("id")).count().where("count > 1").isEmpty():
+            break
+    classes = classes.select("digest", name.alias("id"), "copies", F.col("first.vec_id").alias("vec_id"), F.col("first.row").alias("row"))
+    ones = ws.keep(sized_join(base.select("row", "codes", "vector"), classes.drop("vec_id"), "row", "inner").drop("row"), "ones")
     n = ones.count()
 
-    run_bits = min(BITS, max(0, (n - 1) // block).bit_length())
+    run_bits = bits_of_run(n, block)
     order = ones.select("digest", F.size("vector").alias("dim"), F.posexplode("codes").alias("pass", "code"))
     order = order.select("digest", "pass", "dim", "code", F.shiftright("code", BITS - run_bits).alias("run"), F.xxhash64("pass", "digest").alias("tie"))  # equal codes in another order in each pass
     sort = ["pass", "dim", "code", "tie", "digest"]
@@ -191,7 +229,7 @@ def embedding_components(spark: SparkSession, vectors: DataFrame, least: float =
     blocks = blocks.select("digest", F.col("at.block").alias("blocks"), F.col("at.run").alias("runs"))
     spread = ws.keep(ones.drop("codes").join(blocks, "digest"), "spread")
 
-    held = ["id", "digest", "copies", "vector", "blocks", "runs"]
+    held = ["id", "copies", "vector", "blocks", "runs"]
     near = spread.select(*held, F.posexplode("blocks").alias("pass", "block"))
     task = F.floor(F.col("block") / blocks_a_task)
     near = near.select(*held, "pass", F.explode(F.when((F.col("block") % blocks_a_task == 0) & (task > 0), F.array(task, task - 1)).otherwise(F.array(task))).alias("task"))
@@ -207,12 +245,14 @@ def embedding_components(spark: SparkSession, vectors: DataFrame, least: float =
     found = ws.keep(found, "found")
     ws.drop("placed", "ones", "spread", "wide")
 
-    components = connected_components(spark, found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    counted = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    named = classes.join(counted, "digest", "left").join(components, "id", "left")
-    named = named.select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    components = ws.keep(connected_components(spark, found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b"))), "components")
+    members = components.join(classes.select("id", "vec_id"), "id")
+    members = members.join(members.groupBy("component_id").agg(F.min("vec_id").alias("least")), "component_id").select("id", "least", F.lit(True).alias("linked"))
+    counted = found.groupBy("id").agg(F.sum("links").alias("links"))
+    named = classes.join(counted, "id", "left").join(members, "id", "left")
+    named = named.select("digest", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("vec_id")).alias("component_id"))
     out = base.select("vec_id", "digest").join(named, "digest", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -68,3 +68,18 @@ def test_a_large_group_of_near_copies(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(5)
     have = np.array([r["n_links"] for r in E.embedding_components(spark, df, block=64, blocks_a_task=4).orderBy("vec_id").collect()])
     assert (have <= want).all() and have.sum() >= 0.99 * want.sum() and (have[1500:2000] >= 499).all()
+
+
+def test_rows_that_share_an_identifier_alone_are_apart(spark):
+    x, x2, y, y2 = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0], [0.0, 0.1, 1.0]
+    rows = [(0, x2), (1, x), (1, y), (5, y2), (None, y), (None, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = [(0, 1, 0, True), (1, 1, 0, False), (1, 2, 1, True), (5, 2, 1, False), (None, 2, 1, False), (None, 0, None, True)]
+    assert got(E.embedding_components(spark, df)) == sorted(want, key=str)
+
+
+def test_passes_grow_with_the_table():
+    assert [E.passes_for(n, 0.95) for n in (0, 500, 10**4, 10**6, 10**9)] == sorted(E.passes_for(n, 0.95) for n in (0, 500, 10**4, 10**6, 10**9))
+    for n in (10**4, 10**6, 10**9):
+        agree = (1 - np.arccos(0.95) / np.pi) ** E.bits_of_run(n)
+        assert (1 - agree) ** E.passes_for(n, 0.95) <= E.MISS
