@@ -86,7 +86,7 @@ class Workspace:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "snappy").parquet(path)  # hashes hardly shrink, and other codecs leave native memory behind
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

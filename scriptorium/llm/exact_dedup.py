@@ -24,7 +24,7 @@ from scriptorium.llm.common import Workspace, column, lower_ascii, sized_join
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ARRIVAL = "doc_id bigint, digest binary, file bigint, row bigint"
 #: RocksDB's native memory on an executor, all stores together.
-STORE_MB = 256
+STORE_MB = 64
 
 
 def sha256(normalised: Column) -> Column:
