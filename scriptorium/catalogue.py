@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import more_queries, structure_queries, text_queries
+from scriptorium.plans import layout_queries, more_queries, page_queries, scalar_queries, structure_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **structure_queries.QUERIES, **more_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE_SQL, **structure_queries.ORACLE_SQL, **more_queries.ORACLE_SQL}
+_MODULES = [text_queries, structure_queries, more_queries, scalar_queries, page_queries, layout_queries]
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

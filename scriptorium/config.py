@@ -60,6 +60,42 @@ class Thresholds:
     holdout_min_files: int = 100
     heartbeat_timeout_secs: int = 6
     line_baseline_tolerance_ratio: float = 0.30
+    rule_max_thickness_pt: float = 3.0
+    rule_min_aspect: float = 10.0
+    max_page_glyphs: int = 1_000_000
+    max_image_pixels: int = 100_000_000
+    background_min_page_chars: int = 200
+    scan_book_min_share: float = 0.5
+    second_lang_block_share: float = 0.20
+    superscript_rise_ratio: float = 0.30
+    superscript_size_ratio_max: float = 0.80
+    line_split_gap_em: float = 1.2
+    fallback_space_ratio: float = 0.25
+    min_space_ratio: float = 0.15
+    gutter_min_width_em: float = 0.5
+    gutter_emptiness_min: float = 0.98
+    gutter_height_share_min: float = 0.6
+    column_span_share: float = 0.25
+    continuity_break_max: float = 0.30
+    max_column_retries: int = 2
+    size_barrier_ratio: float = 0.15
+    whitespace_max_rectangles: int = 40
+    whitespace_fuzziness: float = 0.15
+    whitespace_min_area: float = 1.0
+    separator_height_ratio: float = 0.5
+    agreement_iou_min: float = 0.8
+    dropcap_min_height_lines: float = 2.0
+    indent_min_em: float = 1.0
+    indent_convention_min_share: float = 0.05
+    line_unwrap_factor: float = 0.45
+    extra_leading_ratio: float = 1.5
+    word_space_em: float = 0.3
+    furniture_band_ratio: float = 0.08
+    furniture_ned_max: float = 0.15
+    furniture_y_cluster_ratio: float = 0.50
+    furniture_body_size_tolerance: float = 0.05
+    #: Not a threshold of results: the width of the cells in which boxes of a page meet.
+    grid_cell_pt: float = 50.0
 
 
 DEFAULT = Thresholds()

@@ -306,3 +306,58 @@ def xml_text(text: Column) -> Column:
 def block_id(page: Column, x0: Column, y0: Column, x1: Column, y1: Column, text: Column) -> Column:
     """A stable name for a block: of its page, its box to a point, and its first 64 characters."""
     return F.substring(F.sha2(F.concat_ws("|", page, *[F.round(c).cast("bigint") for c in (x0, y0, x1, y1)], F.substring(text, 1, 64)).cast("binary"), 256), 1, 16)
+
+
+# ISO 639-3 codes of the languages that detectors name, and their two-letter tags (cmn and pes by the tags that readers know).
+ISO_639 = {
+    "epo": "eo", "eng": "en", "rus": "ru", "cmn": "zh", "spa": "es", "por": "pt", "ita": "it", "ben": "bn", "fra": "fr", "deu": "de", "ukr": "uk", "kat": "ka", "ara": "ar", "hin": "hi",
+    "jpn": "ja", "heb": "he", "yid": "yi", "pol": "pl", "amh": "am", "jav": "jv", "kor": "ko", "nob": "nb", "dan": "da", "swe": "sv", "fin": "fi", "tur": "tr", "nld": "nl", "hun": "hu",
+    "ces": "cs", "ell": "el", "bul": "bg", "bel": "be", "mar": "mr", "kan": "kn", "ron": "ro", "slv": "sl", "hrv": "hr", "srp": "sr", "mkd": "mk", "lit": "lt", "lav": "lv", "est": "et",
+    "tam": "ta", "vie": "vi", "urd": "ur", "tha": "th", "guj": "gu", "uzb": "uz", "pan": "pa", "aze": "az", "ind": "id", "tel": "te", "pes": "fa", "mal": "ml", "ori": "or", "mya": "my",
+    "nep": "ne", "sin": "si", "khm": "km", "tuk": "tk", "aka": "ak", "zul": "zu", "sna": "sn", "afr": "af", "lat": "la", "slk": "sk", "cat": "ca", "tgl": "tl", "hye": "hy", "cym": "cy",
+}
+
+
+def tag_of(code: Column) -> Column:
+    """The two-letter tag of a three-letter language code; an unknown code as it is."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in ISO_639.items() for x in p]), code), code)
+
+
+def render(template: Column, slots: Column) -> Column:
+    """A template with each ``{name}`` replaced from a map of strings; slots without a value stay."""
+    return F.aggregate(F.map_entries(slots), template, lambda text, e: F.replace(text, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+
+
+def localised(templates: dict[str, dict[str, str]], code: Column, locale: Column, fallback: str = "en") -> Column:
+    """The template of a code in a locale's language, else in the fallback's. ``templates``: language, then code."""
+    flat = F.create_map(*[F.lit(x) for lang, own in templates.items() for c, text in own.items() for x in (f"{lang}|{c}", text)])
+    at = lambda lang: F.try_element_at(flat, F.concat_ws("|", lang, code))
+    return F.coalesce(at(primary(locale)), at(F.lit(fallback)))
+
+
+def fnv1a32(text: Column) -> Column:
+    """32-bit FNV-1a of a text's bytes in UTF-8, as a bigint."""
+    data = F.encode(text, "UTF-8")
+    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("bigint")
+    places = F.when(F.octet_length(text) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.octet_length(text)))
+    return F.aggregate(places, F.lit(2166136261).cast("bigint"), lambda h, i: ((h.bitwiseXOR(byte(i))) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
+
+
+def normal_ledger(text: Column) -> Column:
+    """array of struct(reason, added, start, end, text): what ``normalized`` takes out and puts in. Spans of removals count the composed input's characters, of additions the output's."""
+    made = F.array().cast("array<struct<reason:string,added:boolean,start:int,end:int,text:string>>")
+    expansion = F.create_map(*[F.lit(x) for p in LIGATURES.items() for x in p])
+    entry = lambda reason, added, at, size, what: F.struct(F.lit(reason).alias("reason"), F.lit(added).alias("added"), at.cast("int").alias("start"), (at + size).cast("int").alias("end"), what.alias("text"))
+
+    def step(acc: Column, ch: Column) -> Column:
+        more = F.try_element_at(expansion, ch)
+        soft = ch == "­"
+        own = F.when(soft, F.array(entry("SoftHyphen", False, acc["i"], F.lit(1), ch))).when(
+            more.isNotNull(), F.array(entry("LigatureExpand", False, acc["i"], F.lit(1), ch), entry("LigatureExpand", True, acc["o"], F.length(more), more))
+        )
+        grown = F.when(soft, 0).when(more.isNotNull(), F.length(more)).otherwise(1)
+        return F.struct((acc["i"] + 1).alias("i"), (acc["o"] + grown).alias("o"), F.when(own.isNull(), acc["out"]).otherwise(F.concat(acc["out"], own)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("o"), made.alias("out"))
+    marked = F.rlike(text, F.lit(f"[­{''.join(LIGATURES)}]"))  # few texts have any
+    return F.when(marked, F.aggregate(F.filter(F.split(nfc(text), ""), lambda c: c != ""), start, step, lambda acc: acc["out"])).otherwise(made)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.config import DEFAULT, Thresholds
+from scriptorium.operators.columns import BOX, docstrum, insert_floating
 
 
 def two_means_threshold(gaps: list[float], resolution: float = 0.05, separation: float = 2.0, rounds: int = 32, counts: list[int] | None = None) -> float | None:
@@ -86,43 +87,31 @@ def xy_order(boxes: np.ndarray, ids: np.ndarray, min_x: float, min_y: float) ->
 
 
 def reading_order(blocks: DataFrame, min_x: float, min_y: float) -> DataFrame:
-    """(page, id, reading_index) of blocks (page, id, x0, y0, x1, y1): a permutation for each page. The least gaps of columns and rows are over 0."""
+    """(page, id, reading_index) of blocks (page, id, x0, y0, x1, y1): a permutation for each page. The least gaps of columns and rows are over 0.
+
+    Blocks with a true column ``floats`` (titles over columns, images) are left out of the cuts and put back where they stand.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        out = xy_order(rows[["x0", "y0", "x1", "y1"]].to_numpy(), rows["id"].to_numpy(), min_x, min_y)
+        rows = rows.sort_values("id", ignore_index=True)
+        floats = rows["floats"].to_numpy(bool) if "floats" in rows else np.zeros(len(rows), bool)
+        boxes, ids = rows[BOX].to_numpy(float), rows["id"].to_numpy()
+        at = {x: i for i, x in enumerate(ids.tolist())}
+        order = [at[x] for x in xy_order(boxes[~floats], ids[~floats], min_x, min_y)]
+        whole = [(float(boxes[:, 0].min()), float(boxes[:, 2].max()))]
+        for i in np.flatnonzero(floats):
+            order = insert_floating(order, boxes, int(i), whole)
+        out = ids[order].tolist()
         return pd.DataFrame({"page": rows["page"].iloc[0], "id": out, "reading_index": range(len(out))})
 
     return blocks.groupBy("page").applyInPandas(run, f"page {dict(blocks.dtypes)['page']}, id bigint, reading_index int")
 
 
 def docstrum_groups(lines: DataFrame, multiplier: float = 1.3) -> DataFrame:
-    """(page, id, block): lines one under the other, horizontally overlapping, and no farther apart than the usual distance times a factor, are one block; block is its smallest line."""
+    """(page, id, block): lines one above the other, horizontally overlapping, and no farther apart than the page's usual distance times a factor, are one block; block is its smallest line."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        x0, y0, x1, y1, ids = (rows[c].to_numpy() for c in ("x0", "y0", "x1", "y1", "id"))
-        n = len(ids)
-        over = (np.minimum(x1[:, None], x1) - np.maximum(x0[:, None], x0)) > 0
-        cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
-        dx, dy = np.abs(cx[:, None] - cx), cy[None, :] - cy[:, None]
-        below = over & (dy > 0) & (dy >= dx)
-        dist = np.where(below, np.hypot(dx, dy), np.inf)
-        nearest = dist.min(1, initial=np.inf)
-        nearest = nearest[np.isfinite(nearest)]
-        root = list(range(n))
-
-        def find(i):
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        if len(nearest):
-            buckets, counts = np.unique(np.round(nearest), return_counts=True)
-            usual = nearest[np.round(nearest) == buckets[counts.argmax()]].mean()
-            for i, j in zip(*np.nonzero(dist <= usual * multiplier), strict=True):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-        return rows[["page", "id"]].assign(block=[int(ids[find(i)]) for i in range(n)])
+        return rows[["page", "id"]].assign(block=rows["id"].to_numpy()[docstrum(rows[BOX].to_numpy(float), multiplier)])
 
     return lines.groupBy("page").applyInPandas(run, f"page {dict(lines.dtypes)['page']}, id bigint, block bigint")

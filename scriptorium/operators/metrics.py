@@ -54,12 +54,26 @@ def prf(truth: DataFrame, said: DataFrame, keys: list[str], item: str) -> DataFr
     b = said.groupBy(*on).agg(F.count("*").alias("s"))
     both = a.join(b, on, "full").na.fill(0, ["t", "s"])
     sums = both.groupBy(*keys).agg(F.sum(F.least("t", "s")).alias("matched"), F.sum("t").alias("truth"), F.sum("s").alias("said"))
+    return _rates(sums)
+
+
+def _rates(sums: DataFrame) -> DataFrame:
     p = F.when(F.col("said") == 0, (F.col("truth") == 0).cast("double")).otherwise(F.col("matched") / F.col("said"))
     r = F.when(F.col("truth") == 0, (F.col("said") == 0).cast("double")).otherwise(F.col("matched") / F.col("truth"))
     out = sums.withColumns({"precision": p, "recall": r})
     return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
 
 
+def prf_against_one(truth: DataFrame, said: DataFrame, groups: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """As ``prf``, where every key has the same truth (``item`` alone). Items are counted first and meet the truth's counts by item; what a key lacks follows from sums, so the truth isn't repeated for each key."""
+    a = truth.groupBy(item).agg(F.count("*").alias("t"))
+    b = said.groupBy(*keys, item).agg(F.count("*").alias("s"))
+    all_of = a.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("truth"))  # one row
+    sums = b.join(a, item, "left").groupBy(*keys).agg(F.sum(F.least("s", F.coalesce("t", F.lit(0)))).alias("matched"), F.sum("s").alias("said"))
+    sums = groups.join(sums, keys, "left").na.fill(0, ["matched", "said"]).crossJoin(F.broadcast(all_of)).select(*keys, "matched", "truth", "said")
+    return _rates(sums)
+
+
 @pandas_udf(DoubleType())
 def chi_square_p(x: pd.Series) -> pd.Series:
     """The upper tail of chi square with one degree of freedom."""

@@ -59,8 +59,8 @@ def region_confidence(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ocr.region_confidence(reader_words(spark, d), ["page", "block_num"], 0.3), "mean")
 
 
-@query("""with o as (select label % 10 as region, least(embedding[2], embedding[4])::double as y0, least(embedding[2], embedding[4])::double + 0.002 as y1 from embeddings),
-c as (select region, greatest(y0, -1.0) as a, least(y1, 1.0) as b from o where y0 < 1.0 and y1 > -1.0), regions as (select distinct label % 10 as region from embeddings),
+@query("""with o as (select vec_id // 20 as region, least(embedding[2], embedding[4])::double as y0, least(embedding[2], embedding[4])::double + 0.002 as y1 from embeddings),
+c as (select region, greatest(y0, -1.0) as a, least(y1, 1.0) as b from o where y0 < 1.0 and y1 > -1.0), regions as (select distinct vec_id // 20 as region from embeddings),
 e as (select region, a, b from c union all select region, 1.0, 1.0 from regions), r as (select region, a, coalesce(max(b) over (partition by region order by a, b rows between unbounded preceding and 1 preceding), -1.0) as reached from e)
 select region, round(reached, 6) as y0, round(a, 6) as y1 from r where a > reached""")
 def clean_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -70,14 +70,14 @@ def clean_bands(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ocr.clean_bands(regions, blocked), "y0", "y1")
 
 
-@query("""with c as (select o_custkey % 8 as source, o_orderkey as pos, case when o_orderkey % 11 = 0 then o_custkey else o_orderkey + 1000000000 end as id, o_orderpriority as license, cast(o_totalprice as bigint) as bytes, o_orderkey % 30 as pages, o_orderkey % 97 = 0 as encrypted from orders),
+@query("""with c as (select o_orderkey // 500 as source, o_orderkey as pos, case when o_orderkey % 11 = 0 then o_custkey else o_orderkey + 1000000000 end as id, o_orderpriority as license, cast(o_totalprice as bigint) as bytes, o_orderkey % 30 as pages, o_orderkey % 97 = 0 as encrypted from orders),
 k as (select c.*, c.id in (select c_custkey from customer where c_acctbal > 5000) as known, row_number() over (partition by source, id order by pos) > 1 as again from c),
 r as (select *, case when known or again then 'duplicate' when bytes > 400000 then 'too-large' when license not in ('1-URGENT', '2-HIGH', '3-MEDIUM') then 'licence' when encrypted then 'unreadable' when pages < 4 then 'too-short' end as reason from k),
 s as (select *, coalesce(sum(case when reason is null then bytes else 0 end) over (partition by source order by pos rows between unbounded preceding and 1 preceding), 0) >= 20000000 as over from r),
 n as (select *, sum(case when over and reason is distinct from 'duplicate' then 1 else 0 end) over (partition by source order by pos) as nth from s)
 select source, pos, id, case when reason = 'duplicate' and nth = 0 then 'duplicate' when over then 'budget' else coalesce(reason, 'admitted') end as reason from n where nth = 0 or (nth = 1 and over and reason is distinct from 'duplicate')""")
 def harvest_admission(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").selectExpr("o_custkey % 8 source", "o_orderkey at", "if(o_orderkey % 11 = 0, o_custkey, o_orderkey + 1000000000) id", "o_orderpriority license", "cast(o_totalprice as bigint) bytes", "o_orderkey % 30 pages", "o_orderkey % 97 = 0 encrypted")
+    o = table(spark, d, "orders").selectExpr("o_orderkey div 500 source", "o_orderkey at", "if(o_orderkey % 11 = 0, o_custkey, o_orderkey + 1000000000) id", "o_orderpriority license", "cast(o_totalprice as bigint) bytes", "o_orderkey % 30 pages", "o_orderkey % 97 = 0 encrypted")
     known = table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("id"))
     return evaluate.admit(o, known, ["1-URGENT", "2-HIGH", "3-MEDIUM"], 400_000, 20_000_000).withColumnRenamed("at", "pos")
 

@@ -123,7 +123,7 @@ def heading_tiers(spark: SparkSession, d: str) -> DataFrame:
     return structure.cluster_ranks(styles)
 
 
-LEVELS_SQL = "h as (select p_size % 10 as doc, p_partkey as \"at\", 1 + p_size % 4 as level, row_number() over (partition by p_size % 10 order by p_partkey) as pos from part)"
+LEVELS_SQL = "h as (select p_partkey // 40 as doc, p_partkey as \"at\", 1 + p_size % 4 as level, row_number() over (partition by p_partkey // 40 order by p_partkey) as pos from part)"
 
 
 @query(f"""with recursive {LEVELS_SQL}, r as (
@@ -131,20 +131,20 @@ LEVELS_SQL = "h as (select p_size % 10 as doc, p_partkey as \"at\", 1 + p_size %
  union all select h.doc, h."at", h.level, h.pos, least(h.level, r.fixed + 1) from h join r on r.doc = h.doc and h.pos = r.pos + 1)
 select doc, "at", level, fixed from r""")
 def heading_level_repair(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select((F.col("p_size") % 10).alias("doc"), F.col("p_partkey").alias("at"), (1 + F.col("p_size") % 4).alias("level"))
+    rows = table(spark, d, "part").select(F.expr("p_partkey div 40").alias("doc"), F.col("p_partkey").alias("at"), (1 + F.col("p_size") % 4).alias("level"))
     return structure.remove_level_skips(rows, "at")
 
 
-@query("""with h as (select p_size % 10 as doc, p_partkey as "at", 1 + p_size % 4 as level, p_partkey // 7 % 50 as page from part),
+@query("""with h as (select p_partkey // 40 as doc, p_partkey as "at", 1 + p_size % 4 as level, p_partkey // 7 % 50 as page from part),
 r as (select *, lag(level, 1, 0) over (partition by doc order by "at") as up, lag(page) over (partition by doc order by "at") as was from h),
 s as (select doc, count(*) filter (level = 1) as h1, count(*) filter (level > up + 1) as skips, count(*) filter (page < was) as backwards from r group by doc)
 select *, h1 between 2 and 60 and skips = 0 and backwards = 0 as ok from s""")
 def heading_sanity(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select((F.col("p_size") % 10).alias("doc"), F.col("p_partkey").alias("at"), (1 + F.col("p_size") % 4).alias("level"), F.expr("p_partkey div 7 % 50").alias("page"))
+    rows = table(spark, d, "part").select(F.expr("p_partkey div 40").alias("doc"), F.col("p_partkey").alias("at"), (1 + F.col("p_size") % 4).alias("level"), F.expr("p_partkey div 7 % 50").alias("page"))
     return validate.heading_sanity(rows)
 
 
-BOXES_SQL = "r as (select vec_id as id, label % 10 as page, least(embedding[1], embedding[3])::double as x0, greatest(embedding[1], embedding[3])::double as x1, least(embedding[2], embedding[4])::double as y0, greatest(embedding[2], embedding[4])::double as y1 from embeddings)"
+BOXES_SQL = "r as (select vec_id as id, vec_id // 20 as page, least(embedding[1], embedding[3])::double as x0, greatest(embedding[1], embedding[3])::double as x1, least(embedding[2], embedding[4])::double as y0, greatest(embedding[2], embedding[4])::double as y1 from embeddings)"
 
 
 @query(f"""with {BOXES_SQL}, g as (select c.page, c.id as caption, i.id as image, c.y0 >= i.y1 as below,
@@ -191,12 +191,12 @@ def pack_260k(spark: SparkSession, d: str) -> DataFrame:
     return structure.pack(p)
 
 
-@query("""with l as (select o_custkey % 30 as doc, o_orderkey as page, case when o_orderkey % 3 = 0 then 'iv' else cast(1 + o_orderkey % 5 as varchar) end as label from orders),
+@query("""with l as (select o_orderkey // 100 as doc, o_orderkey as page, case when o_orderkey % 3 = 0 then 'iv' else cast(1 + o_orderkey % 5 as varchar) end as label from orders),
 s as (select *, max(case when regexp_full_match(label, '(?i)[ivxlcdm]+') then 1 else 0 end) over (partition by doc order by page rows between unbounded preceding and 1 preceding) as seen from l)
 select doc, min(page) filter (label = '1' and seen = 1) as page from s group by doc""")
 def arabic_reset(spark: SparkSession, d: str) -> DataFrame:
     label = F.when(F.col("o_orderkey") % 3 == 0, "iv").otherwise((1 + F.col("o_orderkey") % 5).cast("string"))
-    return structure.arabic_reset(table(spark, d, "orders").select((F.col("o_custkey") % 30).alias("doc"), F.col("o_orderkey").alias("page"), label.alias("label")))
+    return structure.arabic_reset(table(spark, d, "orders").select(F.expr("o_orderkey div 100").alias("doc"), F.col("o_orderkey").alias("page"), label.alias("label")))
 
 
 @query("""with recursive v as (select distinct p_brand as key, cast(p_retailprice as double) as value from part), o as (select *, row_number() over (partition by key order by value) as i from v),
@@ -345,16 +345,16 @@ select source, cast(matched as bigint) as matched, cast(truth as bigint) as trut
 def prf_by_source(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     sources = docs.select("source").distinct()
-    truth = table(spark, d, "benchmark").select(F.explode(words_of(F.col("text"))).alias("w")).join(F.broadcast(sources))  # 20 sources: the truth is one for each
-    out = metrics.prf(truth, docs.select("source", F.explode(words_of(F.col("text"))).alias("w")), ["source"], "w")
+    truth = table(spark, d, "benchmark").select(F.explode(words_of(F.col("text"))).alias("w"))
+    out = metrics.prf_against_one(truth, docs.select("source", F.explode(words_of(F.col("text"))).alias("w")), sources, ["source"], "w")
     return rounded(out, "precision", "recall", "f1")
 
 
-@query("""with r as (select source as book, doc_id as x, n_chars as y from documents), p as (select a.book, sign((b.x - a.x) * (b.y - a.y)) as s from r a join r b on a.book = b.book and a.x < b.x),
+@query("""with r as (select source || '-' || (doc_id // 2000) as book, doc_id as x, n_chars as y from documents), p as (select a.book, sign((b.x - a.x) * (b.y - a.y)) as s from r a join r b on a.book = b.book and a.x < b.x),
 n as (select book, count(*) as n from r group by book)
 select n.book, n.n, round(case when n.n < 2 then 1.0 else coalesce(sum(s), 0) / (n.n * (n.n - 1) / 2) end, 6) as tau from n left join p on p.book = n.book group by n.book, n.n""")
 def kendall_tau(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.kendall_tau(table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("x"), F.col("n_chars").alias("y")), ["book"]), "tau")
+    return rounded(metrics.kendall_tau(table(spark, d, "documents").select(F.concat("source", F.lit("-"), F.expr("doc_id div 2000")).alias("book"), F.col("doc_id").alias("x"), F.col("n_chars").alias("y")), ["book"]), "tau")
 
 
 @query("""with e as (select c_custkey % 1400 as id, case when c_custkey % 17 = 0 then '' else c_mktsegment end as license, case when c_nationkey < 12 then 'ours' else 'real' end as source, c_custkey % 20 = 0 as holdout from customer),

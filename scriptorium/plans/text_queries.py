@@ -159,13 +159,13 @@ def conservation_unaccounted(spark: SparkSession, d: str) -> DataFrame:
     return ledger.missing_from(lines, lines.select("source", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text")).distinct(), ["source"])
 
 
-RECTS_SQL = "r as (select vec_id as id, label % 10 as page, least(embedding[1], embedding[3])::double as x0, greatest(embedding[1], embedding[3])::double as x1, least(embedding[2], embedding[4])::double as y0, greatest(embedding[2], embedding[4])::double as y1 from embeddings)"
+RECTS_SQL = "r as (select vec_id as id, vec_id // 20 as page, least(embedding[1], embedding[3])::double as x0, greatest(embedding[1], embedding[3])::double as x1, least(embedding[2], embedding[4])::double as y0, greatest(embedding[2], embedding[4])::double as y1 from embeddings)"
 
 
 def rects(spark: SparkSession, d: str) -> DataFrame:
     e = lambda i: F.element_at("embedding", i).cast("double")
     box = F.struct(F.least(e(1), e(3)).alias("x0"), F.least(e(2), e(4)).alias("y0"), F.greatest(e(1), e(3)).alias("x1"), F.greatest(e(2), e(4)).alias("y1"))
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 10).alias("page"), box.alias("rect"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.expr("vec_id div 20").alias("page"), box.alias("rect"))
 
 
 @query(f"with {RECTS_SQL} select a.page, a.id as id_a, b.id as id_b from r a join r b on a.page = b.page and a.id < b.id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1")
@@ -204,7 +204,7 @@ def benchmark_needles(spark: SparkSession, d: str) -> DataFrame:
 
 
 BANDS_SQL = f"""
-p as (select source as book, row_number() over (partition by source order by doc_id) as page, {LINES.format(t="text")} as lines from documents),
+p as (select source || '-' || (doc_id // 2000) as book, row_number() over (partition by source, doc_id // 2000 order by doc_id) as page, {LINES.format(t="text")} as lines from documents),
 pages as (select book, page from p where len(lines) > 0),
 lines as (select distinct book, page, band, regexp_replace(regexp_replace(replace(line, '#', ' '), '\\p{{N}}+', '#', 'g'), '[^\\p{{L}}#]', '', 'g') as key from (
   select book, page, 'top' as band, lines[1] as line from p where len(lines) > 0 union all select book, page, 'bottom', lines[-1] from p where len(lines) > 0)),
@@ -218,27 +218,30 @@ o as (
   union all select book, band, key, hits, eh / n_even, eh, 'even', eh >= greatest(2, least(n_even, greatest(3, ceil(0.2 * n_even)))) from k where n_even > 0
   union all select book, band, key, hits, oh / n_odd, oh, 'odd', oh >= greatest(2, least(n_odd, greatest(3, ceil(0.2 * n_odd)))) from k where n_odd > 0
   union all select book, band, key, hits, wb / 20, wb, 'window', wb >= greatest(2, least(20, greatest(3, ceil(0.2 * 20)))) from k where n > 20),
-best as (select *, row_number() over (partition by book, band, key order by enough desc, ratio desc, pages desc, scope desc) as r from o)"""
+best as (select *, row_number() over (partition by book, band, key order by ratio desc, case scope when 'all' then 0 when 'even' then 1 when 'odd' then 2 else 3 end) as r from o)"""
 
 
 @query(f"""with {BANDS_SQL} select book, band, key, hits, round(ratio, 6) as ratio, scope, pages,
 case when enough and ratio >= 0.7 then 'furniture' when ratio >= 0.3 then 'abstain' else 'text' end as decision from best where r = 1""")
 def furniture_repetition(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "documents").select(F.col("source").alias("book"), F.expr("row_number() over (partition by source order by doc_id)").alias("page"), trimmed_lines(F.col("text")).alias("lines")).where("size(lines) > 0")
-    ends = F.explode(F.array(F.struct(F.lit("top").alias("band"), F.element_at("lines", 1).alias("line")), F.struct(F.lit("bottom").alias("band"), F.element_at("lines", -1).alias("line"))))
+    docs = table(spark, d, "documents").withColumn("book", F.concat("source", F.lit("-"), F.expr("doc_id div 2000")))
+    p = docs.select("book", "doc_id").withColumn("page", F.expr("row_number() over (partition by book order by doc_id)"))  # numbers alone: texts don't travel
+    both = docs.select("doc_id", trimmed_lines(F.col("text")).alias("lines")).where("size(lines) > 0").select("doc_id", F.element_at("lines", 1).alias("top"), F.element_at("lines", -1).alias("bottom"))
+    p = p.join(both, "doc_id")
+    ends = F.explode(F.array(F.struct(F.lit("top").alias("band"), F.col("top").alias("line")), F.struct(F.lit("bottom").alias("band"), F.col("bottom").alias("line"))))
     lines = p.select("book", "page", ends.alias("x")).select("book", "page", "x.band", T.mask(F.col("x.line")).alias("key"))
     return rounded(furniture.repetition_evidence(lines, p), "ratio")
 
 
-FOLIO_SQL = "f as (select o_custkey % 50 as book, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'roman' else 'arabic' end as system, row_number() over (partition by o_custkey % 50 order by o_orderkey) as page, o_orderkey % 7 as off from orders)"
+FOLIO_SQL = "f as (select o_orderkey // 300 as book, case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'roman' else 'arabic' end as system, row_number() over (partition by o_orderkey // 300 order by o_orderkey) as page, o_orderkey % 7 as off from orders)"
 
 
 @query(f"""with {FOLIO_SQL}, c as (select book, system, off as constant, count(distinct page) as pages, count(*) as n from f group by all)
 select book, system, constant, pages, round(share, 6) as share from (select *, n / sum(n) over (partition by book, system) as share from c) where pages >= 3 and share >= 0.15""")
 def folio_constants(spark: SparkSession, d: str) -> DataFrame:
     system = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "roman").otherwise("arabic")
-    book = F.col("o_custkey") % 50
-    rows = table(spark, d, "orders").select(book.alias("book"), system.alias("system"), F.expr("row_number() over (partition by o_custkey % 50 order by o_orderkey)").alias("page"), (F.col("o_orderkey") % 7).alias("off"))
+    book = F.expr("o_orderkey div 300")
+    rows = table(spark, d, "orders").select(book.alias("book"), system.alias("system"), F.expr("row_number() over (partition by o_orderkey div 300 order by o_orderkey)").alias("page"), (F.col("o_orderkey") % 7).alias("off"))
     return rounded(furniture.folio_constants(rows.withColumn("value", F.col("page") + F.col("off"))), "share")
 
 

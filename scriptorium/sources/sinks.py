@@ -29,6 +29,20 @@ def canonical_json(value, first: str = "ir_version") -> str:
     return json.dumps(clean(value), ensure_ascii=False, separators=(",", ":"))
 
 
+def canonical_rows(df: DataFrame, first: str = "ir_version") -> Column:
+    """A row as canonical JSON: one column ahead, the others by name, numbers at two places, nulls written; a number that isn't finite is an error."""
+    names = sorted(df.columns, key=lambda c: (c != first, c))
+    kinds = dict(df.dtypes)
+
+    def clean(c: str) -> Column:
+        if kinds[c] not in ("double", "float"):
+            return F.col(c)
+        bad = F.isnan(c) | (F.abs(c) == float("inf"))
+        return F.when(bad, F.raise_error(F.lit("a number that isn't finite")).cast("double")).otherwise(F.round(c, 2)).alias(c)
+
+    return F.to_json(F.struct(*[clean(c) for c in names]), {"ignoreNullFields": "false"})
+
+
 def deterministic_zip(entries: dict[str, bytes]) -> bytes:
     """A container whose bytes depend on its entries only: the media type first and stored, the others by name, one date."""
     out = io.BytesIO()
