@@ -44,6 +44,15 @@ WHOLE = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "GPL-3.0-ref",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2": "GPL-2.0-ref",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "GPL-2.0-ref",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL-2.0-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGPL-2.1-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL-3.0-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL-3.0-later",
+    "this source code form is subject to the terms of the mozilla public license v": "MPL-2.0-notice",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC-grant",
+    "this is free and unencumbered software released into the public domain": "Unlicense-notice",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0BSD-grant",
 }
 KNOWN = SENTENCES | WHOLE
 # Sentences with a name of their own, ``*``, and the known sentence that they are.
@@ -58,18 +67,26 @@ RULES = [
     ("GPL-3.0-or-later", ["GPL-3.0-later", "GPL-warranty"]),
     ("Apache-2.0", ["Apache-2.0-ref", "Apache-compliance", "Apache-copy"]),
     ("GPL-3.0-or-later", ["GPL-3.0-later"]),
+    ("GPL-2.0-or-later", ["GPL-2.0-later"]),
+    ("LGPL-2.1-or-later", ["LGPL-2.1-later"]),
+    ("LGPL-3.0-or-later", ["LGPL-3.0-later"]),
+    ("AGPL-3.0-or-later", ["AGPL-3.0-later"]),
+    ("MPL-2.0", ["MPL-2.0-notice"]),
+    ("ISC", ["ISC-grant"]),
+    ("0BSD", ["0BSD-grant"]),
     ("GPL-3.0-only", ["GPL-3.0-ref"]),
     ("GPL-2.0-only", ["GPL-2.0-ref"]),
     ("Apache-2.0", ["Apache-2.0-ref"]),
     ("MIT", ["MIT-ref"]),
     ("MIT-like", ["MIT-grant"]),
+    ("Unlicense", ["Unlicense-notice"]),
     ("CC-BY-NC-4.0", ["CC-BY-NC-4.0-ref"]),
     ("CC-BY-SA-4.0", ["CC-BY-SA-4.0-ref"]),
     ("CC-BY-4.0", ["CC-BY-4.0-ref"]),
     ("all-rights-reserved", ["reserved"]),
 ]
 # Every known sentence has one of these words, so a text without them needs no cutting.
-HINTS = ["licen", "permission", "warranty", "redistribut", "copyright", "reserved", "endorse"]
+HINTS = ["licen", "permission", "warranty", "redistribut", "copyright", "reserved", "endorse", "unencumbered"]
 BREAK = "[.!?;:]+[ \t\r]+|[\n]+"
 NOT_WORD = "[^a-z0-9]+"
 # A joined sentence begins and ends where BREAK cuts; a list number before it goes. Its words are apart by anything but a sentence end or a blank line.

@@ -84,3 +84,12 @@ def test_full_texts_wrapped_and_unwrapped(spark):
 def test_only_whole_sentences_are_joined(spark):
     texts = ["All rights\nreserved.", "Not all rights\nreserved.", "All rights.\nReserved.", "All rights\n\nreserved.", "Released under the\nMIT License or another", "x " + "- " * 50000 + "all rights" + " " * 50000 + "reserved"]
     assert said(spark, texts) == [(1, "all-rights-reserved"), *[(0, "")] * 5]
+
+
+def test_further_notices(spark):
+    gpl2 = SPDX_GPL.replace("version 3", "version 2")
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED"
+    out = said(spark, [gpl2, lgpl, mpl, isc, isc.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")])
+    assert [x for _, x in out] == ["GPL-2.0-or-later", "LGPL-2.1-or-later", "MPL-2.0", "ISC", "0BSD"]
