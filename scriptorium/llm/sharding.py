@@ -2,13 +2,16 @@
 
 Arrivals are appended as small immutable shards. Shards of similar size form a tier; when a tier has enough of them
 they are merged into files of the target size. Every change is a new manifest version, committed by
-creating a file that must not exist yet: readers see a version or not at all, and of two writers one wins.
+an exclusive rename to a name that must not exist yet: readers see a version or not at all, and of two writers one wins; the other looks at the
+new version and commits after it. The file system's rename has to be atomic and to refuse a name that is taken, as HDFS and local ones do; on an
+object store the manifest folder belongs on one that is.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -88,22 +91,40 @@ class ShardStore:
         df.write.option("compression", "zstd").parquet(folder)
         return [Shard(f.getPath().toString(), f.getLen(), version) for f in self._list(folder) if f.getPath().getName().startswith("part-")]
 
+    @staticmethod
+    def _widened(schema: T.StructType | None, df: DataFrame) -> tuple[T.StructType, DataFrame]:
+        """The schema with the columns that only ``df`` has, nullable, and ``df`` in that schema."""
+        if schema is None or schema == df.schema:
+            return df.schema, df
+        known, given = {f.name.lower() for f in schema.fields}, {f.name.lower() for f in df.schema.fields}
+        schema = T.StructType([*schema.fields, *(T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name.lower() not in known)])
+        lacks = {f.name for f in schema.fields if f.nullable and f.name.lower() not in given}
+        return schema, df.select(*[(F.lit(None) if f.name in lacks else df["`" + f.name.replace("`", "``") + "`"]).cast(f.dataType).alias(f.name) for f in schema.fields])
+
     def append(self, df: DataFrame) -> int:
         """The rows of ``df`` as new shards, a file for each of its partitions; no rows: no new version.
 
         Columns are matched by name, in any case. A column that the store doesn't know widens its schema, with null in the rows before; a
-        nullable column that ``df`` lacks is null, and the lack of another is an error.
+        nullable column that ``df`` lacks is null, and the lack of another is an error. If another writer commits first, the shards are committed after its version, and
+        written anew only if that changed the schema.
         """
-        version, shards, schema = self.manifest()
-        if schema is not None and schema != df.schema:
-            known, given = {f.name.lower() for f in schema.fields}, {f.name.lower() for f in df.schema.fields}
-            schema = T.StructType([*schema.fields, *(T.StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name.lower() not in known)])
-            lacks = {f.name for f in schema.fields if f.nullable and f.name.lower() not in given}
-            df = df.select(*[(F.lit(None) if f.name in lacks else df["`" + f.name.replace("`", "``") + "`"]).cast(f.dataType).alias(f.name) for f in schema.fields])
-        new = self._write(df, version + 1)
-        if not new:
-            return version
-        return self.commit(version, shards + new, schema or df.schema)
+        written, new = None, []
+        while True:
+            version, shards, schema = self.manifest()
+            schema, rows = self._widened(schema, df)
+            if written != schema:
+                self._discard(new)
+                written, new = schema, self._write(rows, version + 1)
+            if not new:
+                return version
+            try:
+                return self.commit(version, shards + new, schema)
+            except Conflict:
+                continue
+
+    def _discard(self, shards: list[Shard]) -> None:
+        for folder in {s.path.rpartition("/")[0] for s in shards}:
+            remove(self.spark, folder)
 
     def tier(self, shard: Shard) -> int:
         return int(math.log(max(1, shard.bytes), self.ratio))
@@ -117,29 +138,42 @@ class ShardStore:
         return [sorted(tiers[t], key=lambda s: (s.since, s.path)) for t in sorted(tiers) if len(tiers[t]) >= self.fan_in]
 
     def compact(self) -> int:
-        """Merge until no tier has fan_in shards; each merge is a version. Rows are concatenated, not shuffled."""
-        for _ in range(1000):
-            runs = self.plan()
-            if not runs:
-                break
-            version, shards, schema = self.manifest()
+        """Merge until no tier has fan_in shards; each merge is a version. Rows are concatenated, not shuffled. What another writer commits meanwhile stays; if it has merged the same shards,
+        this merge is dropped."""
+        while runs := self.plan():
+            version, _, schema = self.manifest()
             gone = {s.path for s in runs[0]}
             size = sum(s.bytes for s in runs[0])
             merged = self.spark.read.schema(schema).option("maxPartitionBytes", str(self.target)).parquet(*sorted(gone))
             # merged files are fewer than the shards that they come from, so that this ends
             files = min(max(1, round(size / self.target)), max(1, len(gone) // 2))
             new = self._write(merged.coalesce(files), version + 1)
-            self.commit(version, [s for s in shards if s.path not in gone] + new, schema)
+            while True:
+                version, shards, schema = self.manifest()
+                if not gone <= {s.path for s in shards}:
+                    self._discard(new)
+                    break
+                try:
+                    self.commit(version, [s for s in shards if s.path not in gone] + new, schema)
+                    break
+                except Conflict:
+                    continue
         return self.manifest()[0]
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete files that the last ``keep`` versions do not name."""
+    def vacuum(self, keep: int = 1, patience: float = 24 * 3600) -> None:
+        """Delete files that only versions before the last ``keep`` name, and those that no version names once they haven't been touched for ``patience`` seconds: until then they may be
+        those of a writer that has yet to commit. Manifests stay, so that a version's number is never given twice."""
         versions = self.versions()
         live = {s.path for v in versions[-keep:] for s in self.manifest(v)[1]}
+        old = {s.path.rpartition("/")[0] for v in versions[:-keep] for s in self.manifest(v)[1]}
         for folder in self._list(f"{self.root}/data"):
-            files = self._list(folder.getPath().toString())
-            if not any(f.getPath().toString() in live for f in files):
-                remove(self.spark, folder.getPath().toString())
+            path = folder.getPath().toString()
+            files = self._list(path)
+            if any(f.getPath().toString() in live for f in files):
+                continue
+            touched = max([folder.getModificationTime(), *(f.getModificationTime() for f in files)]) / 1000
+            if path in old or time.time() - touched > patience:
+                remove(self.spark, path)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version; None of an empty store can be read."""

@@ -72,3 +72,61 @@ def test_a_further_column_widens_the_schema(spark):
     store.compact()
     assert len(store.manifest()[1]) < 3 and sorted(map(tuple, store.read().collect())) == want
     assert store.read(1).columns == ["doc_id", "text"]
+
+
+def test_a_vacuum_leaves_what_another_writer_has_yet_to_commit(spark):
+    root = table_path(spark, "store")
+    a, b = ShardStore(spark, root, fan_in=2), ShardStore(spark, root, fan_in=2)
+    b.append(rows(spark, 0, 10))
+    pending = a._write(rows(spark, 10, 20).coalesce(1), 9)  # written, not committed
+    b.append(rows(spark, 20, 30))
+    b.compact()
+    b.vacuum()
+    version, shards, schema = a.manifest()
+    a.commit(version, shards + pending, schema)
+    assert sorted(r["doc_id"] for r in a.read().collect()) == [*range(30)]
+    stray = a._write(rows(spark, 30, 40).coalesce(1), 9)
+    a.vacuum()
+    assert a._fs.exists(a._path(stray[0].path))
+    a.vacuum(patience=-1)
+    assert not a._fs.exists(a._path(stray[0].path)) and a.read().count() == 30
+
+
+def test_writers_that_lose_commit_after_the_winner(spark, monkeypatch):
+    root = table_path(spark, "store")
+    one, other = ShardStore(spark, root, fan_in=2), ShardStore(spark, root)
+    one.append(rows(spark, 0, 10).coalesce(1))
+    commit, busy = ShardStore.commit, []
+
+    def late(self, base, shards, schema):
+        if self is one and len(busy) < 2:
+            busy.append(base)
+            # the first time another writer brings a further column, the second time more rows
+            other.append(rows(spark, 100, 110).coalesce(1).selectExpr("*", "1 extra") if len(busy) == 1 else rows(spark, 200, 210).coalesce(1))
+        return commit(self, base, shards, schema)
+
+    monkeypatch.setattr(ShardStore, "commit", late)
+    one.append(rows(spark, 10, 20).coalesce(1))
+    assert len(busy) == 2 and one.read().columns == ["doc_id", "text", "extra"]
+    assert sorted(r["doc_id"] for r in one.read().collect()) == [*range(20), *range(100, 110), *range(200, 210)]
+    busy.clear()
+    one.compact()
+    assert busy and one.read().count() >= 50
+
+
+def test_two_merges_of_the_same_shards(spark, monkeypatch):
+    root = table_path(spark, "store")
+    one, other = ShardStore(spark, root, fan_in=2), ShardStore(spark, root, fan_in=2)
+    for k in range(3):
+        one.append(rows(spark, k * 10, k * 10 + 10).coalesce(1))
+    commit, once = ShardStore.commit, []
+
+    def late(self, base, shards, schema):
+        if self is one and not once:
+            once.append(1)
+            other.compact()
+        return commit(self, base, shards, schema)
+
+    monkeypatch.setattr(ShardStore, "commit", late)
+    one.compact()
+    assert sorted(r["doc_id"] for r in one.read().collect()) == [*range(30)]
