@@ -107,7 +107,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
             runs = head.withColumn("tail", F.expr(f"pos + length - {depth}")).join(tail, ["row", "tail"]).drop("tail")
         runs = ws.keep(runs.select("row", "doc_id", "pos", "length", "a", "b"), f"runs-{depth}")
         first = runs.groupBy("length", "a", "b").agg(F.min(F.struct("doc_id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        later = runs.join(first, ["length", "a", "b"]).where("row <> first.row or pos <> first.pos")
+        first = ws.keep(first.drop("n"), f"first-{depth}")  # a table, so that an interval with very many members is split in the join
+        later = sized_join(runs, first, ["length", "a", "b"], "inner").where("row <> first.row or pos <> first.pos")
         start = F.expr("if(row = first.row, greatest(pos, first.pos + length), pos)")
         new = later.select("row", start.alias("start"), F.expr("pos + length").alias("end")).where("start < end")
         new = ws.keep(new, f"gone-{depth}")
@@ -117,7 +118,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
             pairs = ws.keep(ranks.withColumnRenamed("rank", "a").join(after, ["row", "pos"]), f"pairs-{depth}")
             ranks = _ranks(spark, ws, pairs, str(2 * depth))
             ws.drop(f"pairs-{depth}", f"ranks-{0 if depth == 1 else depth}", f"order-{0 if depth == 1 else depth}")
-        ws.drop(f"runs-{depth}")
+        ws.drop(f"runs-{depth}", f"first-{depth}")
         depth *= 2
 
     counted = lines.select("row", "doc_id", F.when(F.col("h").isNull(), 0).otherwise(F.size("h")).cast("long").alias("n_lines"))
