@@ -94,6 +94,49 @@ class Thresholds:
     furniture_ned_max: float = 0.15
     furniture_y_cluster_ratio: float = 0.50
     furniture_body_size_tolerance: float = 0.05
+    back_min_page_share: float = 0.5
+    front_title_max_words: int = 60
+    front_dedication_max_words: int = 30
+    front_epigraph_max_words: int = 90
+    front_min_title_key: int = 3
+    note_size_ratio_max: float = 0.85
+    note_zone_band_min: float = 0.55
+    note_rule_max_width_ratio: float = 0.40
+    note_rule_gap_max_em: float = 3.0
+    caption_max_width_ratio: float = 1.0
+    monospace_min_runs: int = 4
+    list_min_siblings: int = 2
+    list_indent_step_pt: float = 3.0
+    list_max_depth: int = 5
+    cluster_char_share_min: float = 0.6
+    short_line_max_width_ratio: float = 0.60
+    space_above_min_em: float = 1.2
+    size_rank_max_level: int = 3
+    outline_match_ned_max: float = 0.25
+    outline_trust_min_bound_share: float = 0.5
+    outline_trust_min_distinct_share: float = 0.8
+    opener_sink_em: float = 3.0
+    opener_min_chain: int = 3
+    opener_min_page_gap: int = 2
+    opener_max_lines: int = 2
+    opener_max_tokens: int = 4
+    runin_max_words: int = 8
+    join_gap_em: float = 1.2
+    label_title_gap_em: float = 3.0
+    level_size_tolerance: float = 0.10
+    toc_indent_step_pt: float = 4.0
+    grid_snap_pt: float = 3.0
+    rule_join_gap_pt: float = 3.0
+    rule_overlap_min: float = 0.5
+    table_min_row_rules: int = 2
+    table_min_column_rules: int = 2
+    table_min_columns: int = 2
+    table_min_aligned_rows: int = 2
+    table_min_aligned_row_share: float = 0.5
+    table_min_taken_text_share: float = 0.5
+    classifier_margin_min: float = 0.25
+    tagged_share_target: float = 0.126
+    tagged_share_tolerance: float = 0.05
     #: Not a threshold of results: the width of the cells in which boxes of a page meet.
     grid_cell_pt: float = 50.0
 

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 # The stage that must have run before a kind of assertion means anything.
 REQUIRED_STAGE = {
@@ -64,18 +61,147 @@ def edit_distance(a: list, b: list) -> int:
     return int(row[-1])
 
 
-@pandas_udf(DoubleType())
-def sequence_score(truth: pd.Series, said: pd.Series) -> pd.Series:
-    """1 less the edit distance of two arrays of strings over the longer; both empty: 1."""
-    return pd.Series([1.0 if not len(a) and not len(b) else 1 - edit_distance([*a], [*b]) / max(len(a), len(b)) for a, b in zip(truth, said, strict=True)])
+#: Items of two sequences are numbered and compared as characters from this one on, which leaves room for 55 000 distinct items before code points that aren't characters.
+FIRST_CODE, MOST_ITEMS = 0x100, 55_000
 
 
-def block_order_score(truth: DataFrame, said: DataFrame) -> DataFrame:
-    """(doc, score) of texts in order (doc, at, text); so for heading trees with ``level|text`` and for table cells with ``row|column|text`` (or without text) as texts."""
-    arrays = lambda df, name: df.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias(name))
+def sequence_distance(a: Column, b: Column) -> Column:
+    """Insertions, deletions and replacements between two arrays of strings, in the JVM: each distinct item is a character of two short texts. More than MOST_ITEMS distinct items are an error."""
+    items = F.array_distinct(F.concat(a, b))
+    code = lambda x: F.lpad(F.hex(F.array_position(items, x) + FIRST_CODE), 4, "0")
+    text = lambda c: F.decode(F.unhex(F.array_join(F.transform(c, code), "")), "UTF-16BE")
+    return F.when(F.size(items) > MOST_ITEMS, F.raise_error(F.lit("too many distinct items")).cast("int")).otherwise(F.levenshtein(text(a), text(b)))
+
+
+def sequence_score(truth: Column, said: Column) -> Column:
+    """1 less the distance of two arrays of strings over the longer; both empty: 1."""
+    longest = F.greatest(F.size(truth), F.size(said))
+    return F.when(longest == 0, 1.0).otherwise(1 - sequence_distance(truth, said) / longest)
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str], item: Column, name: str) -> DataFrame:
+    """(keys, name): each key's items as an array, in order."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, item.cast("string").alias("item_"))))
+    return df.groupBy(*keys).agg(F.transform(rows, lambda x: x["item_"]).alias(name))
+
+
+def _both(truth: DataFrame, said: DataFrame, keys: list[str], order: list[str], item: Column) -> DataFrame:
     none = F.array().cast("array<string>")
-    both = arrays(truth, "t").join(arrays(said, "s"), "doc", "full")
-    return both.select("doc", sequence_score(F.coalesce("t", none), F.coalesce("s", none)).alias("score"))
+    both = in_order(truth, keys, order, item, "t").join(in_order(said, keys, order, item, "s"), keys, "full")
+    return both.withColumns({"t": F.coalesce("t", none), "s": F.coalesce("s", none)})
+
+
+def block_order_score(truth: DataFrame, said: DataFrame) -> DataFrame:
+    """(doc, score) of texts in order (doc, at, text)."""
+    both = _both(truth, said, ["doc"], ["at"], F.col("text"))
+    return both.select("doc", sequence_score(F.col("t"), F.col("s")).alias("score"))
+
+
+def reading_order(truth: DataFrame, said: DataFrame) -> DataFrame:
+    """(doc, similarity, tau, common) of blocks in order (doc, at, block; a block once on each side): edit similarity of the sequences, and tau-a over the blocks that both have."""
+    both = _both(truth, said, ["doc"], ["at"], F.col("block"))
+    places = F.filter(F.transform("s", lambda x: F.array_position("t", x)), lambda p: p > 0)
+    n = F.size("places")
+    both = both.select("doc", sequence_score(F.col("t"), F.col("s")).alias("similarity"), places.alias("places"))
+    return both.select("doc", "similarity", F.when(n < 2, 1.0).otherwise(_concordance("places") / (n * (n - 1) / 2)).alias("tau"), n.cast("bigint").alias("common"))
+
+
+def _concordance(places: str) -> Column:
+    """Pairs in order less pairs out of order, of an array of distinct numbers."""
+    later = lambda i: F.slice(places, i + 2, F.size(places))
+    return F.aggregate(F.transform(places, lambda p, i: F.aggregate(later(i), F.lit(0).cast("bigint"), lambda s, q: s + F.signum((q - p).cast("double")).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def outline_distance(truth: DataFrame, said: DataFrame) -> DataFrame:
+    """(doc, distance) of headings (doc, at, level, text): how many have to be put in, left out or changed. An outline is its sequence of levelled headings, so that is a distance of sequences."""
+    both = _both(truth, said, ["doc"], ["at"], F.concat_ws("|", "level", "text"))
+    return both.select("doc", sequence_distance(F.col("t"), F.col("s")).alias("distance"))
+
+
+def table_similarity(truth: DataFrame, said: DataFrame) -> DataFrame:
+    """(table, teds, teds_s) of cells (table, row, column, text): a table is its cells in order, with their text or (teds_s) without it."""
+    full = _both(truth, said, ["table"], ["row", "column"], F.concat_ws("|", "row", "column", "text"))
+    bare = _both(truth, said, ["table"], ["row", "column"], F.concat_ws("|", "row", "column"))
+    return full.select("table", sequence_score(F.col("t"), F.col("s")).alias("teds")).join(bare.select("table", sequence_score(F.col("t"), F.col("s")).alias("teds_s")), "table")
+
+
+def image_scores(truth: DataFrame, said: DataFrame) -> DataFrame:
+    """(doc, precision, recall, f1, caption_accuracy, checked) of images (doc, image, caption): found ones as a multiset, captions of those that were found; 1 where none was."""
+    from scriptorium.operators.metrics import prf
+
+    counts = prf(truth, said, ["doc"], "image").select("doc", "precision", "recall", "f1")
+    both = truth.join(said.groupBy("doc", "image").agg(F.last("caption").alias("said")), ["doc", "image"])
+    right = both.groupBy("doc").agg(F.count("*").alias("checked"), F.avg(F.col("caption").eqNullSafe(F.col("said")).cast("double")).alias("accuracy"))
+    return counts.join(right, "doc", "left").select("doc", "precision", "recall", "f1", F.coalesce("accuracy", F.lit(1.0)).alias("caption_accuracy"), F.coalesce("checked", F.lit(0)).cast("bigint").alias("checked"))
+
+
+def reader_error_rates(pages: DataFrame, ours: str = "ours") -> DataFrame:
+    """(stratum, n, cer, gap) of pages (stratum, truth, said): mean character error rate, and how far it is from that of our own stratum; null without one."""
+    from scriptorium.functions.text import cer
+
+    by = pages.groupBy("stratum").agg(F.count("*").alias("n"), F.avg(cer(F.col("truth"), F.col("said"))).alias("cer"))
+    own = by.where(F.col("stratum") == ours).select(F.col("cer").alias("own"))  # one row at most
+    return by.join(F.broadcast(own), how="left").select("stratum", "n", "cer", (F.col("cer") - F.col("own")).alias("gap"))
+
+
+def false_repairs(rows: DataFrame) -> DataFrame:
+    """(task, language, category, n, b, c, rate): of outcomes (task, language, category, first, second) how many only the second (b) or only the first (c) got right, and the share that was broken."""
+    s = rows.groupBy("task", "language", "category").agg(F.count("*").alias("n"), F.count_if(F.col("second") & ~F.col("first")).alias("b"), F.count_if(F.col("first") & ~F.col("second")).alias("c"))
+    return s.withColumn("rate", F.col("c") / F.col("n"))
+
+
+def passing_languages(table: DataFrame, most: float = 0.01) -> DataFrame:
+    """(task, language, pass): not worse over all categories together, and no category with too many broken."""
+    from scriptorium.operators.metrics import non_inferior
+
+    s = table.groupBy("task", "language").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("c").alias("c"), F.max("rate").alias("worst"))
+    return s.select("task", "language", (non_inferior(F.col("n"), F.col("b"), F.col("c")) & (F.col("worst") <= most)).alias("pass"))
+
+
+def gate_enabled(table: DataFrame, enabled: DataFrame, most: float = 0.01) -> DataFrame:
+    """(task, language, category, failure) of enabled pairs (task, language): one without evidence fails, as does a category with too many broken."""
+    both = enabled.join(table, ["task", "language"], "left")
+    failure = F.when(F.col("n").isNull(), "no evaluation").when(F.col("rate") > most, "false repairs")
+    return both.select("task", "language", "category", failure.alias("failure")).where("failure is not null")
+
+
+def guard_files(used: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(file, problem) of files that a fit may not use: unknown ones, and those held out (``manifest``: file, holdout)."""
+    both = used.select("file").distinct().join(manifest, "file", "left")
+    return both.select("file", F.when(F.col("holdout").isNull(), "unknown").when(F.col("holdout"), "holdout").alias("problem")).where("problem is not null")
+
+
+def fit_summary(observations: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row (observations, files, accuracy) over observations (file, correct) of files that may be fitted on."""
+    ok = observations.join(manifest.where("not holdout").select("file"), "file", "left_semi")
+    return ok.agg(F.count("*").alias("observations"), F.countDistinct("file").alias("files"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+
+
+def truth_assertions(blocks: DataFrame) -> DataFrame:
+    """(doc, kind, text, level, n): what has to hold of a converted book, from what its source says (doc, at, kind, level, text): each heading's level, each paragraph's text, the first two paragraphs' order, how many
+    paragraphs there are."""
+    none = F.lit(None)
+    said = blocks.where(F.trim("text") != "")
+    heads = said.where("kind = 'heading'").select("doc", F.lit("heading_level").alias("kind"), "text", "level", none.cast("bigint").alias("n"))
+    paras = said.where("kind = 'paragraph'")
+    texts = paras.select("doc", F.lit("text_present").alias("kind"), "text", none.cast("int").alias("level"), none.cast("bigint").alias("n"))
+    first = paras.withColumn("k", F.expr("row_number() over (partition by doc order by at)")).where("k <= 2").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("k", "text"))).alias("x")).where("size(x) = 2 and x[0].text <> x[1].text")
+    order = first.select("doc", F.lit("text_order").alias("kind"), F.concat(F.col("x")[0]["text"], F.lit("\n"), F.col("x")[1]["text"]).alias("text"), none.cast("int").alias("level"), none.cast("bigint").alias("n"))
+    count = blocks.groupBy("doc").agg(F.count_if(F.col("kind") == "paragraph").alias("n")).select("doc", F.lit("block_count").alias("kind"), none.cast("string").alias("text"), none.cast("int").alias("level"), "n")
+    return heads.union(texts).union(order).union(count)
+
+
+def corpus_rows(manifest: DataFrame, results: DataFrame, scores: DataFrame) -> DataFrame:
+    """(stratum, file, metric, value) of a run over a corpus (``manifest``: file, stratum): missing 1 where a file has no result, failed 1 where its result isn't ok, else its scores (file, metric, value)."""
+    m = manifest.join(results.select("file", "ok"), "file", "left")
+    bad = m.where(F.col("ok").isNull() | ~F.col("ok")).select("stratum", "file", F.when(F.col("ok").isNull(), "missing").otherwise("failed").alias("metric"), F.lit(1.0).alias("value"))
+    return bad.unionByName(m.where("ok").join(scores, "file").select("stratum", "file", "metric", "value"))
+
+
+def bench_gate(runs: DataFrame, seconds: float, bytes_: int) -> DataFrame:
+    """(file, seconds_per_page, peak, ok) of runs (file, pages, seconds, peak) against budgets of a page's seconds and of memory."""
+    per = F.col("seconds") / F.greatest(F.col("pages"), F.lit(1))
+    return runs.select("file", per.alias("seconds_per_page"), "peak", ((per <= seconds) & (F.col("peak") <= bytes_)).alias("ok"))
 
 
 def admit(candidates: DataFrame, known: DataFrame, licences: list[str], max_file: int, max_total: int, min_pages: int = 4) -> DataFrame:
@@ -136,7 +262,8 @@ def passes(rows: DataFrame, most: float = 0.01) -> DataFrame:
 
 
 def license_of(url: Column) -> Column:
-    """The licence that a licence's address names."""
-    cc = F.regexp_extract(F.lower(url), r"creativecommons\.org/licenses/([a-z-]+)/([0-9.]+)", 0)
-    kind, version = F.regexp_extract(cc, "licenses/([a-z-]+)/", 1), F.regexp_extract(cc, "/([0-9.]+)$", 1)
-    return F.when(cc != "", F.concat(F.lit("CC-"), F.upper(kind), F.lit("-"), version)).when(F.rlike(F.lower(url), F.lit("publicdomain/(zero|mark)")), "public-domain")
+    """The licence that a licence's address names: Creative Commons with its version, CC0, or public domain by mark."""
+    cc = r"(?i)creativecommons\.org/licenses/([a-z-]+)/(\d+\.\d+)"
+    pd_kind = F.lower(F.regexp_extract(url, r"(?i)creativecommons\.org/publicdomain/(zero|mark)/\d+\.\d+", 1))
+    kind = F.regexp_extract(url, cc, 1)
+    return F.when(pd_kind == "zero", "CC0-1.0").when(pd_kind == "mark", "PD-old-work").when(kind != "", F.concat(F.lit("CC-"), F.upper(kind), F.lit("-"), F.regexp_extract(url, cc, 2)))

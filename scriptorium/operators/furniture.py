@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,7 +121,10 @@ def near_groups(found: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     def near(a: str, b: str) -> bool:
         longest = max(len(a), len(b))
         most = t.furniture_ned_max * longest
-        return a == b or (abs(len(a) - len(b)) <= most and edit_distance([*a], [*b]) <= most)
+        if a == b or abs(len(a) - len(b)) > most:
+            return a == b
+        # characters that one has more of than the other bound the distance from below
+        return max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) <= most and edit_distance([*a], [*b]) <= most
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["page", "line"], kind="stable")

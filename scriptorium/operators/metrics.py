@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from scriptorium.config import DEFAULT, Thresholds
 
@@ -74,23 +72,41 @@ def prf_against_one(truth: DataFrame, said: DataFrame, groups: DataFrame, keys:
     return _rates(sums)
 
 
-@pandas_udf(DoubleType())
-def chi_square_p(x: pd.Series) -> pd.Series:
-    """The upper tail of chi square with one degree of freedom."""
-    return x.map(lambda v: None if v is None or v != v else math.erfc(math.sqrt(v / 2)))
+def chi_square_p(x: Column | str) -> Column:
+    """The upper tail of chi square with one degree of freedom: Simpson's rule on the normal density up to 6, its asymptotic series beyond."""
+    x = F.col(x) if isinstance(x, str) else x
+    z, n = F.sqrt(x), 400
+    density = lambda u: F.exp(-u * u / 2)
+    inner = F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), F.lit(0.0), lambda s, i: s + F.when(i % 2 == 1, 4.0).otherwise(2.0) * density(z * i / n))
+    area = (1 + inner + density(z)) * z / (3 * n)
+    tail = math.sqrt(2 / math.pi) * density(z) / z * (1 - 1 / x + 3 / (x * x) - 15 / (x * x * x))
+    return F.when(z <= 6, F.greatest(F.lit(0.0), 1 - math.sqrt(2 / math.pi) * area)).when(z > 6, tail)
 
 
-def log_factorials(most: int) -> list[float]:
-    return [math.lgamma(i + 1) for i in range(most + 1)]
+def exact_p(b: Column, c: Column) -> Column:
+    """The two-sided binomial p of b against c discordant pairs; 1 without any. Each probability is made from the one before it, in logarithms."""
+    n, k = (b + c).cast("double"), F.least(b, c)
+    start = F.struct((-n * math.log(2)).alias("log"), F.exp(-n * math.log(2)).alias("sum"))
 
+    def step(acc: Column, i: Column) -> Column:
+        log = acc["log"] + F.log((n - i + 1) / i)
+        return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
 
-def exact_p(b: Column, c: Column, most: int) -> Column:
-    """The two-sided binomial p of b against c discordant pairs, for b + c up to ``most``."""
-    lf = F.array(*map(F.lit, log_factorials(most)))
-    n, k = b + c, F.least(b, c)
-    at = lambda i: F.element_at(lf, (i + 1).cast("int"))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda s, i: s + F.exp(at(n) - at(i) - at(n - i) - n * math.log(2)))
-    return F.when(n == 0, 1.0).when(n <= most, F.least(F.lit(1.0), 2 * tail))
+    places = F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(places, start, step, lambda acc: acc["sum"])))
+
+
+def superior(b: Column, c: Column, alpha: float = 0.05) -> Column:
+    """Whether the first answers are better: more pairs where they alone are right, and too many for chance."""
+    return (b > c) & (exact_p(b, c) < alpha)
+
+
+def non_inferior(n: Column, b: Column, c: Column, alpha: float = 0.05, margin: float = 0.02) -> Column:
+    """Whether the first answers aren't worse by the margin: one-sided z of the paired difference. Without discordant pairs the difference is 0."""
+    d = (b - c) / n
+    variance = ((b + c) / n - d * d) / n
+    z = (d + margin) / F.sqrt(F.greatest(variance, F.lit(1e-300)))
+    return F.when(n == 0, False).when(variance <= 0, d > -margin).otherwise(z > NormalDist().inv_cdf(1 - alpha))
 
 
 def mcnemar(pairs: DataFrame, keys: list[str], first: str, second: str, t: Thresholds = DEFAULT) -> DataFrame:
@@ -100,7 +116,7 @@ def mcnemar(pairs: DataFrame, keys: list[str], first: str, second: str, t: Thres
     d = F.col("b") + F.col("c")
     few = d < t.exact_below
     chi = F.when(d > 0, F.pow(F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)), F.lit(2)) / d)
-    return sums.select(*keys, "n", "b", "c", few.alias("exact"), F.when(few, exact_p(F.col("b"), F.col("c"), t.exact_below)).alias("p_exact"), F.when(~few, chi).alias("chi2"))
+    return sums.select(*keys, "n", "b", "c", few.alias("exact"), F.when(few, exact_p(F.col("b"), F.col("c"))).alias("p_exact"), F.when(~few, chi).alias("chi2"))
 
 
 def reliability(observations: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:

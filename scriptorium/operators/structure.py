@@ -83,14 +83,26 @@ def associate_captions(images: DataFrame, captions: DataFrame, max_gap: float, t
 def link_notes(markers: DataFrame, notes: DataFrame) -> DataFrame:
     """(page, marker, note_id, marker_id, pass) of note bodies and markers (page, marker, id), each used once, in order of identifiers.
 
-    First by page and marker, then numeric markers anywhere. The k-th marker of a key meets the k-th note, so that no pairs are made.
+    First by page and marker, then numeric markers anywhere, at last what is left of a page, whatever it says. The k-th marker of a key meets the k-th note, so that no pairs are made.
     """
-    keyed = lambda df, keys, name: df.withColumn("k", F.expr(f"row_number() over (partition by {', '.join(keys)} order by page, id)")).select(*keys, "k", F.col("id").alias(name), *([] if "page" in keys else [F.col("page").alias(f"{name}_page")]))
-    one = keyed(markers, ["page", "marker"], "marker_id").join(keyed(notes, ["page", "marker"], "note_id"), ["page", "marker", "k"]).select("page", "marker", "note_id", "marker_id", F.lit(1).alias("pass"))
-    left_m = markers.join(one.select(F.col("marker_id").alias("id")), "id", "left_anti").where(F.rlike("marker", F.lit("^[0-9]+$")))
-    left_n = notes.join(one.select(F.col("note_id").alias("id")), "id", "left_anti").where(F.rlike("marker", F.lit("^[0-9]+$")))
-    two = keyed(left_m, ["marker"], "marker_id").join(keyed(left_n, ["marker"], "note_id"), ["marker", "k"]).select(F.col("note_id_page").alias("page"), "marker", "note_id", "marker_id", F.lit(2).alias("pass"))
-    return one.unionByName(two)
+
+    def keyed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        rows = df.withColumn("k", F.expr(f"row_number() over (partition by {', '.join(keys)} order by page, id)"))
+        return rows.select(*keys, "k", F.col("id").alias(name), F.col("page").alias(f"{name}_page"), F.col("marker").alias(f"{name}_marker"))
+
+    def match(m: DataFrame, n: DataFrame, keys: list[str], number: int) -> DataFrame:
+        both = keyed(m, keys, "marker_id").join(keyed(n, keys, "note_id"), [*keys, "k"])
+        return both.select(F.col("note_id_page").alias("page"), F.col("note_id_marker").alias("marker"), "note_id", "marker_id", F.lit(number).alias("pass"))
+
+    numeric = F.rlike("marker", F.lit("^[0-9]+$"))
+    out = None
+    for number, keys, which in ((1, ["page", "marker"], F.lit(True)), (2, ["marker"], numeric), (3, ["page"], F.lit(True))):
+        m, n = markers, notes
+        if out is not None:
+            m, n = m.join(out.select(F.col("marker_id").alias("id")), "id", "left_anti"), n.join(out.select(F.col("note_id").alias("id")), "id", "left_anti")
+        found = match(m.where(which), n.where(which), keys, number)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def zone_of(label: Column, reset: Column, page: Column, back: Column) -> Column:

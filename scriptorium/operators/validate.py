@@ -105,3 +105,9 @@ def manifest_lint(entries: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     ours = share.where(F.col("s") > t.ours_max_share).select(F.lit("ours_share_above_maximum").alias("rule"), F.lit("").alias("id"), F.round("s", 6).cast("string").alias("detail"))
     few = share.where(F.col("h") < t.holdout_min_files).select(F.lit("holdout_below_minimum").alias("rule"), F.lit("").alias("id"), F.col("h").cast("string").alias("detail"))
     return twice.union(bare).union(ours).union(few)
+
+
+def tagged_share(entries: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """One row (n, share, off): the share of manifest entries that are tagged, and whether it is farther from the target than tolerated; null without entries."""
+    s = entries.agg(F.count("*").alias("n"), F.avg(F.col("tagged").cast("double")).alias("share"))
+    return s.withColumn("off", F.abs(F.col("share") - t.tagged_share_target) > t.tagged_share_tolerance)

@@ -160,13 +160,15 @@ def caption_nearest(spark: SparkSession, d: str) -> DataFrame:
     return rounded(structure.associate_captions(boxes.where(wide), boxes.where(~wide), 0.05), "distance")
 
 
-@query("""with m as (select o_custkey % 20 as page, cast(o_orderkey % 30 as varchar) as marker, o_orderkey as id from orders where o_orderstatus = 'O'), n as (select o_custkey % 20 as page, cast(o_orderkey % 30 as varchar) as marker, o_orderkey as id from orders where o_orderstatus = 'F'),
+@query("""with m as (select o_orderkey // 40 as page, cast(o_orderkey % 30 as varchar) as marker, o_orderkey as id from orders where o_orderstatus = 'O'), n as (select o_orderkey // 40 as page, cast(o_orderkey % 30 as varchar) as marker, o_orderkey as id from orders where o_orderstatus = 'F'),
 mk as (select *, row_number() over (partition by page, marker order by id) as k from m), nk as (select *, row_number() over (partition by page, marker order by id) as k from n),
 one as (select mk.page, mk.marker, nk.id as note_id, mk.id as marker_id, 1 as pass from mk join nk using (page, marker, k)),
-m2 as (select *, row_number() over (partition by marker order by page, id) as k from m where id not in (select marker_id from one)), n2 as (select *, row_number() over (partition by marker order by page, id) as k from n where id not in (select note_id from one))
-select * from one union all select n2.page, n2.marker, n2.id, m2.id, 2 from m2 join n2 using (marker, k)""")
+m2 as (select *, row_number() over (partition by marker order by page, id) as k from m where id not in (select marker_id from one)), n2 as (select *, row_number() over (partition by marker order by page, id) as k from n where id not in (select note_id from one)),
+two as (select n2.page, n2.marker, n2.id as note_id, m2.id as marker_id, 2 as pass from m2 join n2 using (marker, k)),
+m3 as (select *, row_number() over (partition by page order by page, id) as k from m where id not in (select marker_id from one union all select marker_id from two)), n3 as (select *, row_number() over (partition by page order by page, id) as k from n where id not in (select note_id from one union all select note_id from two))
+select * from one union all select * from two union all select n3.page, n3.marker, n3.id, m3.id, 3 from m3 join n3 using (page, k)""")
 def note_links(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 20).alias("page"), (F.col("o_orderkey") % 30).cast("string").alias("marker"), F.col("o_orderkey").alias("id"), "o_orderstatus")
+    o = table(spark, d, "orders").select(F.expr("o_orderkey div 40").alias("page"), (F.col("o_orderkey") % 30).cast("string").alias("marker"), F.col("o_orderkey").alias("id"), "o_orderstatus")
     return structure.link_notes(o.where("o_orderstatus = 'O'").drop("o_orderstatus"), o.where("o_orderstatus = 'F'").drop("o_orderstatus"))
 
 
@@ -282,9 +284,15 @@ def mcnemar_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.mcnemar(labelled(spark, d), ["lang"], "quality", "toxic"), "p_exact", "chi2")
 
 
-@query()
+# the normal density's area by Simpson's rule, in more steps than the operator takes
+AREA = "list_sum(list_transform(range(0, 2001), lambda i: case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end * exp(-pow(sqrt(x) * i / 2000, 2) / 2))) * sqrt(x) / 6000"
+
+
+@query(f"""with {LABELS_SQL}, s as (select source, count(*) filter (quality = 1 and toxic = 0) as b, count(*) filter (quality = 0 and toxic = 1) as c from x group by source), k as (select *, b + c as d, power(greatest(abs(b - c) - 1, 0), 2) / greatest(b + c, 1) as x from s)
+select source, b, c, round(case when d = 0 then 1.0 when d < 25 then least(1.0, 2 * (select sum(exp(lgamma(d + 1) - lgamma(i + 1) - lgamma(d - i + 1) - d * ln(2))) from (select unnest(range(0, least(b, c) + 1)) as i))) else greatest(0.0, 1 - sqrt(2 / pi()) * {AREA}) end, 6) as p from k""")
 def mcnemar_p(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.mcnemar(labelled(spark, d), ["source"], "quality", "toxic").withColumn("p", F.coalesce("p_exact", metrics.chi_square_p("chi2")))
+    m = metrics.mcnemar(labelled(spark, d), ["source"], "quality", "toxic")
+    return rounded(m.select("source", "b", "c", F.coalesce("p_exact", metrics.chi_square_p("chi2")).alias("p")), "p")
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:

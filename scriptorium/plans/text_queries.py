@@ -258,13 +258,13 @@ TOKENS_SQL = f"""
 t0 as (select source as book, doc_id, {WORDS.format(t="text")} as w from documents),
 t1 as (select book, doc_id, unnest(range(0, len(w))) as i, unnest(w) as raw from t0),
 tk as (select book, doc_id, i, raw, regexp_replace(raw, '^[^\\p{{L}}\\p{{N}}\\-‐]+|[^\\p{{L}}\\p{{N}}\\-‐]+$', '', 'g') as clean from t1),
-tokens as (select *, lower(clean) as word, case when regexp_matches(clean, '[-‐]$') then 'open' when regexp_matches(clean, '\\p{{L}}[-‐]\\p{{L}}') then 'hyphenated' else 'plain' end as kind from tk where clean <> ''),
-lexicon as (select book, regexp_replace(word, '[-‐]', '') as word, count(*) filter (kind = 'plain') as plain, count(*) filter (kind = 'hyphenated') as hyphenated from tokens where kind <> 'open' group by all)"""
+tokens as materialized (select *, lower(clean) as word, case when regexp_matches(clean, '[-‐]$') then 'open' when regexp_matches(clean, '\\p{{L}}[-‐]\\p{{L}}') then 'hyphenated' else 'plain' end as kind from tk where clean <> ''),
+lexicon as materialized (select book, regexp_replace(word, '[-‐]', '') as word, count(*) filter (kind = 'plain') as plain, count(*) filter (kind = 'hyphenated') as hyphenated from tokens where kind <> 'open' group by all)"""
 
 
 @query(f"with {TOKENS_SQL} select * from lexicon")
 def doc_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    return paragraphs.lexicon(paragraphs.book_tokens(table(spark, d, "documents"), "source"))
+    return paragraphs.lexicon(paragraphs.word_uses(paragraphs.book_tokens(table(spark, d, "documents"), "source")))
 
 
 @query(f"""with {TOKENS_SQL}, m as (select *, coalesce(regexp_matches(lag(raw) over (partition by book, doc_id order by i), '[.!?…:]$'), true) as after_stop from tokens),
@@ -273,17 +273,17 @@ s as (select book, count(*) filter (kind <> 'open') as words, count(*) filter (k
 select book, words, round(compounds / words, 6) as lower_compound_rate, round(case when mids = 0 then 0.0 else capitals / mids end, 6) as capital_rate,
  words >= 2000 and compounds / words <= 0.0005 as joins_by_style, case when mids = 0 then 0.0 else capitals / mids end >= 0.15 as capital_nouns from s""")
 def book_style(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(paragraphs.book_style(paragraphs.book_tokens(table(spark, d, "documents"), "source")), "lower_compound_rate", "capital_rate")
+    return rounded(paragraphs.book_style(paragraphs.word_uses(paragraphs.book_tokens(table(spark, d, "documents"), "source"))), "lower_compound_rate", "capital_rate")
 
 
 @query(f"with {TOKENS_SQL}, r as (select book, word, plain, (select count(*) from lexicon b where b.book = a.book and b.plain > a.plain) as larger from lexicon a where plain > 0) select book, word, plain from r where larger < 30")
 def function_words(spark: SparkSession, d: str) -> DataFrame:
-    return paragraphs.function_words(paragraphs.lexicon(paragraphs.book_tokens(table(spark, d, "documents"), "source")))
+    return paragraphs.function_words(paragraphs.lexicon(paragraphs.word_uses(paragraphs.book_tokens(table(spark, d, "documents"), "source"))))
 
 
 # every place between two words of one line stands for a line's end: head and tail of what could be one broken word
 BREAKS_SQL = f"""{TOKENS_SQL},
-breaks as (select distinct book, head, tail from (select book, clean as head, lead(clean) over (partition by book, doc_id order by i) as tail from tokens) where regexp_full_match(head, '\\p{{L}}{{2,12}}') and regexp_full_match(tail, '\\p{{L}}{{2,12}}')),
+breaks as materialized (select distinct book, head, tail from (select book, clean as head, lead(clean) over (partition by book, doc_id order by i) as tail from tokens) where regexp_full_match(head, '\\p{{L}}{{2,12}}') and regexp_full_match(tail, '\\p{{L}}{{2,12}}')),
 b1 as (select book, head, tail, lower(head || tail) as joined, lower(head || substr(tail, 1, 3)) as stem, lower(tail) as low_tail from breaks),
 m as (select *, coalesce(regexp_matches(lag(raw) over (partition by book, doc_id order by i), '[.!?…:]$'), true) as after_stop from tokens),
 st0 as (select book, count(*) filter (kind <> 'open') as words, count(*) filter (kind <> 'open' and regexp_matches(clean, '[-‐]\\p{{Ll}}')) as compounds,
@@ -291,8 +291,8 @@ st0 as (select book, count(*) filter (kind <> 'open') as words, count(*) filter
 style as (select book, words >= 2000 and compounds / words <= 0.0005 as joins_by_style, case when mids = 0 then 0.0 else capitals / mids end >= 0.15 as capital_nouns from st0),
 susp as (select distinct book, nextw as word from (select book, kind, lead(word) over (partition by book, doc_id order by i) as nextw from tokens) where kind = 'open' and nextw is not null),
 fw as (select book, word from (select book, word, plain, rank() over (partition by book order by plain desc) as r from lexicon where plain > 0) where r <= 30),
-stems as (select b.book, b.stem, coalesce(sum(l.plain), 0) as n from (select distinct book, stem from b1) b left join (
-  select book, substr(word, 1, s) as stem, plain from lexicon, (select distinct length(stem) as s from b1) where length(word) >= s and plain > 0) l on l.book = b.book and l.stem = b.stem group by all),
+lens as (select distinct book, length(stem) as s from b1 where length(stem) >= 4),
+stems as (select book, substr(word, 1, s) as stem, sum(plain) as n from lexicon join lens using (book) where length(word) >= s and plain > 0 group by all),
 x as (select b1.*, coalesce(l.plain, 0) as np, coalesce(l.hyphenated, 0) as nh, joins_by_style, capital_nouns, susp.word is not null as is_s, fw.word is not null as is_f, stems.n as ns
  from b1 left join lexicon l on l.book = b1.book and l.word = b1.joined left join style on style.book = b1.book left join susp on susp.book = b1.book and susp.word = low_tail
  left join fw on fw.book = b1.book and fw.word = low_tail left join stems on stems.book = b1.book and stems.stem = b1.stem),
@@ -306,7 +306,8 @@ tiers as (select book, head, tail, case
 @query(f"with {BREAKS_SQL} select book, head, tail, split_part(t, ':', 1) as tier, split_part(t, ':', 2) as decision from tiers")
 def dehyphen_decisions(spark: SparkSession, d: str) -> DataFrame:
     tokens = paragraphs.book_tokens(table(spark, d, "documents"), "source")
-    pairs = tokens.select("book", F.col("clean").alias("head"), F.expr("lead(clean) over (partition by book, doc_id order by at)").alias("tail"))
+    pairs = tokens.select("book", F.col("clean").alias("head"), F.col("after").alias("tail"))
     breaks = pairs.where(F.rlike("head", F.lit(r"^\p{L}{2,12}$")) & F.rlike("tail", F.lit(r"^\p{L}{2,12}$"))).distinct()
-    words = paragraphs.lexicon(tokens)
-    return paragraphs.dehyphenate(breaks, words, paragraphs.book_style(tokens), paragraphs.suspended_words(tokens), paragraphs.function_words(words))
+    uses = paragraphs.word_uses(tokens)
+    words = paragraphs.lexicon(uses)
+    return paragraphs.dehyphenate(breaks, words, paragraphs.book_style(uses), paragraphs.suspended_words(tokens), paragraphs.function_words(words))

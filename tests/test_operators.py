@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.config import Thresholds
-from scriptorium.operators import furniture, layout, ledger, metrics, paragraphs, quality, structure, validate
+from scriptorium.functions import text as T
+from scriptorium.operators import furniture, hyphens, layout, ledger, metrics, paragraphs, quality, structure, validate
 from scriptorium.sources import readers
 from scriptorium.streaming import events
 
@@ -150,7 +151,7 @@ def test_continuity(spark):
 def test_dehyphenation_tiers(spark):
     text = "The pipeline ran. A co-op met pre- and post-war. function functional the the the and and and " + "word " * 5
     t = paragraphs.book_tokens(docs(spark, text).withColumn("book", F.lit("b")), "book")
-    words, style = paragraphs.lexicon(t), paragraphs.book_style(t)
+    words, style = paragraphs.lexicon(paragraphs.word_uses(t)), paragraphs.book_style(paragraphs.word_uses(t))
     breaks = spark.createDataFrame([("b", *x) for x in [("pipe", "line"), ("co", "op"), ("mid", "and"), ("func", "tionary"), ("ab", "3"), ("xy", "Zed"), ("qq", "rr")]], "book string, head string, tail string")
     low = Thresholds(function_word_rank=2)
     out = {r["head"]: (r["tier"], r["decision"]) for r in paragraphs.dehyphenate(breaks, words, style, paragraphs.suspended_words(t), paragraphs.function_words(words, low)).collect()}
@@ -161,11 +162,12 @@ def test_list_tier_and_hash(spark):
     t = paragraphs.book_tokens(docs(spark, "nothing here").withColumn("book", F.lit("b")), "book")
     common = spark.createDataFrame([("sunlight",), ("well",), ("known",)], "word string")
     breaks = spark.createDataFrame([("b", "sun", "light"), ("b", "well", "known")], "book string, head string, tail string")
-    words = paragraphs.lexicon(t)
-    out = {r["head"]: (r["tier"], r["decision"]) for r in paragraphs.dehyphenate(breaks, words, paragraphs.book_style(t), paragraphs.suspended_words(t), paragraphs.function_words(words), common).collect()}
+    words = paragraphs.lexicon(paragraphs.word_uses(t))
+    out = {r["head"]: (r["tier"], r["decision"]) for r in paragraphs.dehyphenate(breaks, words, paragraphs.book_style(paragraphs.word_uses(t)), paragraphs.suspended_words(t), paragraphs.function_words(words), common).collect()}
     assert out == {"sun": ("list", "join"), "well": ("list", "keep")}
-    assert paragraphs.fnv1a32("") == 2166136261 and paragraphs.fnv1a32("a") == 0xE40C292C
-    assert len(paragraphs.break_features("Haus", "tür")) == 14
+    one = spark.range(1)
+    assert one.select(T.fnv1a32(F.lit("")), T.fnv1a32(F.lit("a"))).first()[:] == (2166136261, 0xE40C292C)
+    assert len(one.select(hyphens.features(F.lit("Haus"), F.lit("tür"), F.lit("de"))).first()[0]) == 14
 
 
 # --- structure, layout, validation ---
