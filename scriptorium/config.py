@@ -28,6 +28,7 @@ class Thresholds:
     mean_word_len_min: float = 3.0
     mean_word_len_max: float = 10.0
     lang_block_min_words: int = 5
+    lang_block_min_confidence: float = 0.60
     lang_block_override_max_share: float = 0.20
     dup_block_min_chars: int = 40
     furniture_min_repeat_pages: int = 3

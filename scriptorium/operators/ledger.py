@@ -111,3 +111,45 @@ def overlapping(rects: DataFrame, cell: float, keys: list[str]) -> DataFrame:
     b = grid.select(*keys, "gx", "gy", F.col("id").alias("id_b"), F.col("rect").alias("b"))
     own = (F.floor(F.greatest("a.x0", "b.x0") / cell) == F.col("gx")) & (F.floor(F.greatest("a.y0", "b.y0") / cell) == F.col("gy"))
     return a.join(b, [*keys, "gx", "gy"]).where("id_a < id_b").where(overlaps("a", "b") & own).select(*keys, "id_a", "id_b")
+
+
+def retention_warnings(rows: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """(doc, retention) of documents (doc, start, out, ocr) that had characters and kept too few of them."""
+    kept = retention(F.col("out"), F.col("ocr"), F.col("start"))
+    return rows.where("start > 0").select("doc", kept.alias("retention")).where(F.col("retention") < t.min_char_retention)
+
+
+def book_characters(files: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """(keys, ch, n): the characters of the bodies of files in the reading order (``pos`` not null); markup, and what isn't read, doesn't count."""
+    body = F.regexp_extract(F.col(html), r"(?s)<body[^>]*>(.*)</body>", 1)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?s)<(script|style)[^>]*>.*?</\1>", ""), "<[^>]*>", " "), "&nbsp;", " ")
+    for name, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(name), F.lit(ch))
+    return histogram(files.where("pos is not null").select(*keys, bare.alias("text")), keys)
+
+
+def check_stages(stages: DataFrame, entries: DataFrame, totals: DataFrame, budgets: dict[str, float], t: Thresholds = DEFAULT) -> DataFrame:
+    """(doc, stage, violation): the first rule that a stage breaks.
+
+    ``stages``: doc, stage, conserving, declared array of reasons, before, after (characters). ``entries``: doc, stage, reason, added, chars, text. ``totals``: doc, start. In order: entries of a stage that may have none; a reason that
+    isn't declared; a dehyphenation that takes out anything but one hyphen; characters that don't add up; a group's cumulative removal over its budget, then all of them.
+    """
+    per = entries.groupBy("doc", "stage").agg(F.count("*").alias("n"), F.collect_set("reason").alias("reasons"), F.sum(F.when(F.col("added"), F.col("chars")).otherwise(-F.col("chars"))).alias("change"),
+                                              F.count_if((F.col("reason") == "Dehyphenate") & ~(~F.col("added") & F.col("text").isin("-", "‐"))).alias("odd"))
+    group = F.create_map(*[F.lit(x) for r, g in budgets_of(budgets).items() for x in (r, g)])
+    net = entries.groupBy("doc", "stage", "reason").agg(F.greatest(F.sum(F.when(F.col("added"), -F.col("chars")).otherwise(F.col("chars"))), F.lit(0)).alias("net"))
+    net = net.where(~F.col("reason").isin([r for r, g in BUDGET_GROUPS.items() if g is None])).withColumn("budget_group", F.coalesce(F.try_element_at(group, F.col("reason")), F.lit("other")))
+    both = net.groupBy("doc", "stage", "budget_group").agg(F.sum("net").alias("net")).union(net.groupBy("doc", "stage", F.lit("global")).agg(F.sum("net")))
+    limit = F.create_map(*[F.lit(x) for g, b in (budgets | {"global": t.global_non_ocr_removal}).items() for x in (g, b)])
+    run = both.withColumn("so_far", F.expr("sum(net) over (partition by doc, budget_group order by stage)")).join(totals, "doc")
+    over = run.where(F.col("so_far") > F.try_element_at(limit, F.col("budget_group")) * F.col("start")).groupBy("doc", "stage").agg(F.min(F.struct((F.col("budget_group") == "global").alias("last"), "budget_group"))["budget_group"].alias("over"))
+    s = stages.join(per, ["doc", "stage"], "left").join(over, ["doc", "stage"], "left")
+    n = F.coalesce("n", F.lit(0))
+    violation = (
+        F.when(F.col("conserving") & (n > 0), "I-3")
+        .when(F.size(F.array_except(F.coalesce("reasons", F.array().cast("array<string>")), F.col("declared"))) > 0, "I-2")
+        .when(F.coalesce("odd", F.lit(0)) > 0, "I-5")
+        .when(F.col("before") + F.coalesce("change", F.lit(0)) != F.col("after"), "I-1")
+        .when(F.col("over").isNotNull(), F.concat(F.lit("I-4 "), F.col("over")))
+    )
+    return s.select("doc", "stage", violation.alias("violation")).where("violation is not null")

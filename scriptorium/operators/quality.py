@@ -121,3 +121,15 @@ def dict_hit_rate(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     found = counts.join(known, ["lang", "word"], "left").groupBy("doc_id", "lang").agg(rate.alias("rate"))
     found = found.join(F.broadcast(listed), F.col("lang") == F.col("listed"), "left").select("doc_id", F.when(F.col("listed").isNotNull(), F.col("rate")).alias("dict_hit_rate"))
     return docs.select("doc_id").join(found, "doc_id", "left")
+
+
+def significant_blocks(blocks: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Blocks (text, in_table, ...) that are long enough for a repetition to mean anything and aren't cells of a table; white space collapsed."""
+    flat = blocks.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return flat.where(~F.col("in_table") & (F.length("text") >= t.dup_block_min_chars))
+
+
+def duplicate_stats(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, surplus, texts): copies beyond the first, and texts that have any."""
+    n = blocks.groupBy(*keys, "text").agg(F.count("*").alias("n"))
+    return n.groupBy(*keys).agg(F.sum(F.col("n") - 1).alias("surplus"), F.count_if(F.col("n") > 1).alias("texts"))
