@@ -137,17 +137,18 @@ def snapped(values: DataFrame, snap: float = 3.0) -> DataFrame:
 def pack(pieces: DataFrame, most: int | None = None, t: Thresholds = DEFAULT) -> DataFrame:
     """(doc, file, pieces, bytes) of pieces (doc, at, bytes) put in order into files of at most so many bytes; a larger piece has a file of its own.
 
-    A fold over a document's piece sizes (one number each) in one row.
+    A fold over a document's piece sizes, one number each; what grows in it is a row for each file.
     """
     most = most or t.split_bytes
-    rows = F.array_sort(F.collect_list(F.struct("at", "bytes")))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(-1).alias("file"), F.array().cast("array<struct<file:int,bytes:bigint>>").alias("out"))
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("at", "bytes"))), lambda x: x["bytes"].cast("bigint"))
+    row = lambda n, b: F.struct(n.alias("pieces"), b.alias("bytes"))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("n"), zero.alias("used"), F.array().cast("array<struct<pieces:bigint,bytes:bigint>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        new = (acc["file"] < 0) | (acc["used"] + x["bytes"] > most)
-        file = F.when(new, acc["file"] + 1).otherwise(acc["file"])
-        used = F.when(new, x["bytes"]).otherwise(acc["used"] + x["bytes"])
-        return F.struct(used.cast("bigint").alias("used"), file.alias("file"), F.concat(acc["out"], F.array(F.struct(file.cast("int").alias("file"), x["bytes"].cast("bigint").alias("bytes")))).alias("out"))
+        full = (acc["n"] > 0) & (acc["used"] + x > most)
+        out = F.when(full, F.concat(acc["out"], F.array(row(acc["n"], acc["used"])))).otherwise(acc["out"])
+        return F.struct(F.when(full, zero + 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, x).otherwise(acc["used"] + x).alias("used"), out.alias("out"))
 
-    out = pieces.groupBy("doc").agg(rows.alias("rows")).select("doc", F.inline(F.aggregate("rows", start, step, lambda acc: acc["out"])))
-    return out.groupBy("doc", "file").agg(F.count("*").alias("pieces"), F.sum("bytes").alias("bytes"))
+    files = F.aggregate("sizes", start, step, lambda acc: F.concat(acc["out"], F.array(row(acc["n"], acc["used"]))))
+    return pieces.groupBy("doc").agg(sizes.alias("sizes")).select("doc", F.posexplode(files).alias("file", "x")).select("doc", "file", "x.pieces", "x.bytes")

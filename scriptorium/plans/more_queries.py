@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import contents, evaluate, ocr, structure
 from scriptorium.plans.structure_queries import log_rows
-from scriptorium.plans.text_queries import rects, rounded
+from scriptorium.plans.text_queries import LINES, rects, rounded
 from scriptorium.sources.readers import document_lines, html_blocks, table
 from scriptorium.sources.sinks import cache_key, event_lines
 
@@ -26,11 +26,20 @@ def query(sql: str | None = None):
 
 
 
-@query()
+NUMBER_DIGIT = "case c when 'i' then 1 when 'v' then 5 when 'x' then 10 when 'l' then 50 when 'c' then 100 when 'd' then 500 else 1000 end"
+
+
+@query(f"""with l as (select source as doc, doc_id as page, i - 1 as pos, lines[i] as line from (select source, doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select source, doc_id, {LINES.format(t="text")} as lines from documents))),
+n as (select *, regexp_extract(regexp_replace(line, '\\s+$', ''), '([\\p{{L}}\\p{{N}}]+)$', 1) as number, trim(regexp_replace(regexp_replace(line, '[\\p{{L}}\\p{{N}}]+\\s*$', ''), '[\\s.·…_\\-‧•]+$', '')) as title from l),
+rn as (select distinct number from n where regexp_full_match(number, '[ivxlcdm]{{1,8}}|[IVXLCDM]{{1,8}}')), rd as (select number, i, {NUMBER_DIGIT} as v from (select number, i, string_split(lower(number), '')[i] as c from (select number, unnest(range(1, length(number) + 1)) as i from rn))),
+rv as (select number, sum(case when v < nx then -v else v end) as value from (select number, v, coalesce(lead(v) over (partition by number order by i), 0) as nx from rd) group by number),
+e as (select n.doc, n.page, n.pos, case when regexp_full_match(n.number, '[0-9]{{1,4}}') then cast(n.number as bigint) else rv.value end as value from n left join rv on rv.number = n.number where regexp_matches(title, '\\p{{L}}')),
+w as (select *, lag(value) over (partition by doc, page order by pos) as was from e where value >= 0), g as (select doc, page, count(*) as entries, count(was) as pairs, count(*) filter (value >= was) as up from w group by all), p as (select doc, page, count(*) as rows_ from l group by all)
+select doc, page, rows_ as "rows", coalesce(entries, 0) as entries, round(case when coalesce(pairs, 0) = 0 then 1.0 else up / pairs end, 6) as rising, coalesce(entries, 0) >= 3 and coalesce(entries, 0) / rows_ >= 0.4 and case when coalesce(pairs, 0) = 0 then 1.0 else up / pairs end >= 0.8 as is_contents from p left join g using (doc, page)""")
 def contents_pages(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("doc", F.col("source"))
     lines = document_lines(docs).join(docs.select("doc_id", "doc"), "doc_id").select("doc", F.col("doc_id").alias("page"), F.col("line_no").alias("at"), "line")
-    return contents.contents_pages(lines)
+    return rounded(contents.contents_pages(lines), "rising")
 
 
 

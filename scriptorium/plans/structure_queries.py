@@ -117,7 +117,11 @@ def size_sigma(spark: SparkSession, d: str) -> DataFrame:
     return rounded(structure.size_sigma(runs(spark, d)), "mean", "sigma")
 
 
-@query()
+@query(f"""with recursive {STYLES_SQL}, c as (select distinct doc, cast(size as double) as size, bold from styles where is_candidate), o as (select *, row_number() over (partition by doc order by size desc, bold desc) as k from c),
+r as (select doc, k, size, bold, size as top, bold as top_bold, 1 as tier from o where k = 1 union all
+ select o.doc, o.k, o.size, o.bold, case when o.size < r.top * 0.9 or (o.size = r.top and r.top_bold and not o.bold) then o.size else r.top end, case when o.size < r.top * 0.9 or (o.size = r.top and r.top_bold and not o.bold) then o.bold else r.top_bold end,
+  case when o.size < r.top * 0.9 or (o.size = r.top and r.top_bold and not o.bold) then r.tier + 1 else r.tier end from o join r on o.doc = r.doc and o.k = r.k + 1)
+select doc, size, bold, least(tier, 3) as tier from r""")
 def heading_tiers(spark: SparkSession, d: str) -> DataFrame:
     styles = structure.cluster_styles(runs(spark, d)).where("is_candidate").select("doc", F.col("size").cast("double").alias("size"), "bold")
     return structure.cluster_ranks(styles)
@@ -184,12 +188,12 @@ def dangling_refs(spark: SparkSession, d: str) -> DataFrame:
     return validate.dangling(items, "l_partkey", table(spark, d, "part").where("p_size > 10"), "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("""with recursive p as (select source as doc, row_number() over (partition by source order by doc_id) as i, cast(strlen(coalesce(text, '')) as bigint) as b from documents),
+@query("""with recursive p as (select source || '-' || (doc_id // 2000) as doc, row_number() over (partition by source, doc_id // 2000 order by doc_id) as i, cast(strlen(coalesce(text, '')) as bigint) as b from documents),
 r as (select doc, i, b, b as used, 0 as file from p where i = 1 union all
  select p.doc, p.i, p.b, case when r.used + p.b > 260000 then p.b else r.used + p.b end, case when r.used + p.b > 260000 then r.file + 1 else r.file end from p join r on p.doc = r.doc and p.i = r.i + 1)
 select doc, file, count(*) as pieces, cast(sum(b) as bigint) as bytes from r group by doc, file""")
 def pack_260k(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("at"), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("bytes"))
+    p = table(spark, d, "documents").select(F.concat("source", F.lit("-"), F.expr("doc_id div 2000")).alias("doc"), F.col("doc_id").alias("at"), F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("bytes"))
     return structure.pack(p)
 
 
@@ -451,20 +455,33 @@ def xy_cut_order(spark: SparkSession, d: str) -> DataFrame:
     return layout.reading_order(rects(spark, d).select("page", "id", "rect.*"), 0.001, 0.001)
 
 
-@query()
+@query(f"""with recursive {BOXES_SQL}, p as (select a.page, a.id as a, b.id as b, least(a.x1, b.x1) - greatest(a.x0, b.x0) as ox, abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) as dy, case when least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 then 0.0 else greatest(b.x0 - a.x1, a.x0 - b.x1, 0.0) end as dx from r a join r b on a.page = b.page and a.id <> b.id),
+u as (select *, sqrt(dx * dx + dy * dy) as far from p where dy >= dx), n as (select page, a, min(far) as near from u group by all), m as (select page, floor(near + 0.5) as bucket, count(*) as k, avg(near) as usual from n group by all), w as (select page, usual from (select *, row_number() over (partition by page order by k desc, bucket) as i from m) where i = 1),
+e as (select u.page, a, b from u join w using (page) where ox > 0 and far <= usual * 1.3), reach as (select page, id as a, id as root from r union select e.page, e.b, reach.root from reach join e on e.page = reach.page and e.a = reach.a)
+select page, a as id, min(root) as block from reach group by page, a""")
 def docstrum_blocks(spark: SparkSession, d: str) -> DataFrame:
     return layout.docstrum_groups(rects(spark, d).select("page", "id", "rect.*"))
 
 
-@query()
+@query(f"""with recursive {BOXES_SQL}, o as (select page, id, y1 as base, y1 - y0 as size, row_number() over (partition by page order by y1, id) as k from r),
+c as (select page, k, id, 0 as line, base as anchor, size as big from o where k = 1 union all
+ select o.page, o.k, o.id, case when abs(o.base - c.anchor) > 0.3 * greatest(c.big, o.size) then c.line + 1 else c.line end, case when abs(o.base - c.anchor) > 0.3 * greatest(c.big, o.size) or o.size > c.big then o.base else c.anchor end,
+  case when abs(o.base - c.anchor) > 0.3 * greatest(c.big, o.size) or o.size > c.big then o.size else c.big end from o join c on o.page = c.page and o.k = c.k + 1)
+select page, id, line from c""")
 def baseline_clusters(spark: SparkSession, d: str) -> DataFrame:
     return layout.cluster_baselines(rects(spark, d).select("page", "id", F.col("rect.y1").alias("baseline"), (F.col("rect.y1") - F.col("rect.y0")).alias("size")))
 
 
-@query()
+GAP_STEP = "sum(case when abs(x - low) <= abs(x - high) then x * n end) / sum(case when abs(x - low) <= abs(x - high) then n end), sum(case when abs(x - low) > abs(x - high) then x * n end) / sum(case when abs(x - low) > abs(x - high) then n end)"
+
+
+@query(f"""with recursive g as (select l_returnflag as a, l_linestatus as b, round(l_tax * 10 + case when l_quantity > 25 then 4.0 else 0.0 end, 2) as x, count(*) as n from lineitem group by all),
+k as (select a, b, 0 as i, min(x) as low, max(x) as high from g group by a, b union all select a, b, i + 1, low2, high2 from (select k.a, k.b, k.i, {GAP_STEP.replace("), sum(case when abs(x - low) > ", ") as low2, sum(case when abs(x - low) > ", 1)} as high2 from k join g on g.a = k.a and g.b = k.b where k.i < 32 group by k.a, k.b, k.i, k.low, k.high)),
+f as (select * from k where i = 32), s as (select f.a, f.b, low, high, sum(n * least(abs(x - low), abs(x - high))) / sum(n) as spread, max(x) - min(x) as range_, sum(n) as total from f join g on g.a = f.a and g.b = f.b group by all)
+select a as l_returnflag, b as l_linestatus, cast(total as bigint) as n, round(case when total >= 2 and range_ > 0.05 and (high - low) / greatest(spread, 0.05) >= 2 then (low + high) / 2 end, 6) as threshold from s""")
 def space_thresholds(spark: SparkSession, d: str) -> DataFrame:
     gaps = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_tax") * 10 + F.when(F.col("l_quantity") > 25, 4.0).otherwise(0.0)).alias("gap"))
-    return layout.space_thresholds(gaps, ["l_returnflag", "l_linestatus"])
+    return rounded(layout.space_thresholds(gaps, ["l_returnflag", "l_linestatus"]), "threshold")
 
 
 __all__ = ["QUERIES", "ORACLE_SQL", "entries", "quality"]

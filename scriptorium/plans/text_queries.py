@@ -187,20 +187,30 @@ def fold_key_groups(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(T.squash_key(F.col("p_name")).alias("key")).agg(F.count("*").alias("n"), F.min("p_name").alias("least"))
 
 
+#: A side of this many rows or fewer, counted first, is broadcast.
+FEW = 100_000
+
+
 @query("select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)")
 def benchmark_needles(spark: SparkSession, d: str) -> DataFrame:
-    """Needles are looked up by their first words: a document's word windows meet them in a broadcast hash join, then the whole needle is sought."""
-    k = 4
-    needles = table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"), words_of(F.col("text")).alias("w"))
-    # the first word may be cut by what stands before it, and the last by what follows
-    needles = needles.select("item_id", "needle", F.when(F.size("w") >= k + 2, F.array_join(F.slice("w", 2, k), " ")).alias("gram"))
+    """Needles are looked up by the first of their inner words (the first word may be cut by what stands before it, the last by what follows): four, or as many as there are. What meets is numbers; only then
+    are the texts of the documents that hold a needle's words read, and the whole needle sought in them. Needles of two words or less are sought in every text."""
+    needles = table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"), words_of(F.col("text")).alias("w")).withColumn("k", F.greatest(F.least(F.size("w") - 2, F.lit(4)), F.lit(0)))
     docs = table(spark, d, "documents")
-    grams = docs.select("doc_id", "text", F.array_distinct(quality.ngrams(words_of(F.col("text")), k)).alias("grams"))
-    small = needles.where("gram is not null")
-    met = grams.select("doc_id", "text", F.explode("grams").alias("gram")).join(F.broadcast(small), "gram").where(F.contains("text", F.col("needle"))).select("item_id", "doc_id")
-    short = needles.where("gram is null")  # a few words or less: sought in every text, by a broadcast of the few
-    rest = docs.join(F.broadcast(short), F.contains("text", F.col("needle"))).select("item_id", "doc_id")
-    return met.union(rest)
+    sized = lambda df, n: F.broadcast(df) if n <= FEW else df
+    out = None
+    for k, n in sorted((r["k"], r["count"]) for r in needles.groupBy("k").count().collect()):  # five rows at most
+        own = needles.where(F.col("k") == k)
+        if k:
+            own = own.select("item_id", "needle", F.array_join(F.slice("w", 2, k), " ").alias("gram"))
+            grams = docs.select("doc_id", F.explode(F.array_distinct(quality.ngrams(words_of(F.col("text")), k))).alias("gram"))
+            met = grams.join(sized(own.select("item_id", "gram"), n), "gram").select("doc_id", "item_id").distinct()
+            hits = docs.select("doc_id", "text").join(met, "doc_id").join(sized(own.select("item_id", "needle"), n), "item_id")
+        else:
+            hits = docs.join(sized(own.select("item_id", "needle"), n), F.contains("text", F.col("needle")))
+        found = hits.where(F.contains("text", F.col("needle"))).select("item_id", "doc_id")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else docs.where(F.lit(False)).select(F.lit(0).cast("bigint").alias("item_id"), "doc_id")
 
 
 BANDS_SQL = f"""

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -24,7 +25,7 @@ def duck():
 
 def plain(df):
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         return repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
 
