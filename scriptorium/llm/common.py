@@ -35,7 +35,7 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 #: Rows and bytes of an Arrow batch: what the JVM and a Python worker hold at once, twice over. Set where Spark's own settings stand.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(1 << 20))}
 
 
 def ship_package(spark: SparkSession) -> None:
