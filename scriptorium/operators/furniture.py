@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,25 +117,27 @@ def near_groups(found: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     first = found.groupBy("book", "band", "key", "baseline").agg(F.min(F.struct("page", "line")).alias("at"), F.first("body").alias("body"))
     rows = first.select("book", "band", "key", "baseline", F.col("at.page").alias("page"), F.col("at.line").alias("line"), "body")
 
-    def near(a: str, b: str) -> bool:
-        longest = max(len(a), len(b))
-        most = t.furniture_ned_max * longest
-        if a == b or abs(len(a) - len(b)) > most:
-            return a == b
-        # characters that one has more of than the other bound the distance from below
-        return max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) <= most and edit_distance([*a], [*b]) <= most
+    bins = lambda text: np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % 64, minlength=64)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["page", "line"], kind="stable")
         heads: list[str] = []
+        counts, sizes = np.zeros((len(part), 64), np.int64), np.zeros(len(part))
         of_key: dict[str, int] = {}
         starts: dict[int, list[float]] = {}
         out = []
         for r in part.itertuples():
             if r.key not in of_key:
-                of_key[r.key] = next((i for i, h in enumerate(heads) if near(h, r.key)), len(heads))
-                if of_key[r.key] == len(heads):
+                n, own = len(heads), bins(r.key)
+                # characters that one has more of than the other bound the distance from below
+                off = counts[:n] - own
+                least = np.maximum(np.maximum(off, 0).sum(1), np.maximum(-off, 0).sum(1))
+                most = t.furniture_ned_max * np.maximum(sizes[:n], len(r.key))
+                near = (i for i in np.flatnonzero(least <= most).tolist() if heads[i] == r.key or edit_distance([*heads[i]], [*r.key]) <= most[i])
+                of_key[r.key] = next(near, n)
+                if of_key[r.key] == n:
                     heads.append(r.key)
+                    counts[n], sizes[n] = own, len(r.key)
             g = of_key[r.key]
             lows = starts.setdefault(g, [])
             at = next((i for i, b in enumerate(lows) if abs(b - r.baseline) <= t.furniture_y_cluster_ratio * r.body), len(lows))
@@ -196,14 +197,17 @@ def find_folios(readings: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
 
 
 def detect_furniture(lines: DataFrame, pages: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """(book, page, line, kind, label) of lines that are page numbers, running heads or running feet. Page numbers first; the rest by repetition; a page never loses all its lines; books of one page with text have none."""
+    """(book, page, line, kind, label) of lines that are page numbers, running heads or running feet. Page numbers first; the rest by repetition; a page never loses all its lines; books of one page with text have none.
+
+    What is read several times (numbers, candidates, groups: a few rows a page) is cached; ``spark.catalog.clearCache()`` frees it.
+    """
     eligible = lines.select("book", "page").distinct()
     enough = eligible.groupBy("book").agg(F.count("*").alias("n")).where("n >= 2").select("book")
     lines = lines.join(enough, "book", "left_semi")
-    folios = find_folios(folio_readings(lines, pages, t), t)
+    folios = find_folios(folio_readings(lines, pages, t), t).persist()
     numbers = folios.select("book", "page", "line", F.when(~F.col("with_text"), "page_number").when(F.col("band") == "top", "running_head").otherwise("running_foot").alias("kind"), "label")
-    found = candidates(lines, pages, t).join(folios.select("book", "page", "line"), ["book", "page", "line"], "left_anti")
-    grouped = found.join(near_groups(found, t), ["book", "band", "key", "baseline"])
+    found = candidates(lines, pages, t).join(folios.select("book", "page", "line"), ["book", "page", "line"], "left_anti").persist()
+    grouped = found.join(near_groups(found, t), ["book", "band", "key", "baseline"]).persist()
     flags = grouped.groupBy("book", "band", "group").agg(F.every("sole").alias("all_sole"), F.some("goes_on").alias("any_goes_on"), F.every(F.col("value").isNotNull()).alias("numeric"))
     steps = progression(grouped.withColumn("book", F.struct("book", "band", "group"))).select("book.*", "step")
     repeats = repetition_evidence(grouped.select("book", "page", "band", F.col("group").alias("key")), eligible, t).where("decision = 'furniture'").select("book", "band", F.col("key").alias("group"))
