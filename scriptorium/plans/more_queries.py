@@ -86,7 +86,7 @@ s as (select *, coalesce(sum(case when reason is null then bytes else 0 end) ove
 n as (select *, sum(case when over and reason is distinct from 'duplicate' then 1 else 0 end) over (partition by source order by pos) as nth from s)
 select source, pos, id, case when reason = 'duplicate' and nth = 0 then 'duplicate' when over then 'budget' else coalesce(reason, 'admitted') end as reason from n where nth = 0 or (nth = 1 and over and reason is distinct from 'duplicate')""")
 def harvest_admission(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").selectExpr("o_orderkey div 500 source", "o_orderkey at", "if(o_orderkey % 11 = 0, o_custkey, o_orderkey + 1000000000) id", "o_orderpriority license", "cast(o_totalprice as bigint) bytes", "o_orderkey % 30 pages", "o_orderkey % 97 = 0 encrypted")
+    o = table(spark, d, "orders").selectExpr("o_orderkey div 500 source", "o_orderkey at", "if(o_orderkey % 11 = 0, o_custkey, o_orderkey + 1000000000) id", "o_orderpriority license", "cast(rint(o_totalprice) as bigint) bytes", "o_orderkey % 30 pages", "o_orderkey % 97 = 0 encrypted")
     known = table(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("id"))
     return evaluate.admit(o, known, ["1-URGENT", "2-HIGH", "3-MEDIUM"], 400_000, 20_000_000).withColumnRenamed("at", "pos")
 
