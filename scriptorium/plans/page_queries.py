@@ -165,8 +165,10 @@ r as (select *, sum(case when new then 1 else 0 end) over (partition by page, li
 runs as (select page, line, run, string_agg(piece, '' order by x0, idx) as text, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, avg(baseline) as baseline, any_value(size) as size, any_value(vertical) as vertical, count(*) as n from r group by page, line, run)"""
 
 
-def glyph_rows(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page"), F.posexplode(F.filter(F.split("text", ""), lambda x: x != "")).alias("i", "ch"))
+def glyph_rows(spark: SparkSession, d: str, gathered: bool = False) -> DataFrame:
+    """A row for each character; ``gathered``: texts, not their characters, are brought together by page."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("page"), "text")
+    c = (glyphs.by_page(c) if gathered else c).select("page", F.posexplode(F.filter(F.split("text", ""), lambda x: x != "")).alias("i", "ch"))
     g = c.selectExpr(
         "page", "i idx", "i div 60 line", "ch", "i % 60 * 6.0D + if(i % 17 >= 8, 4.0D, 0.0D) + if(i % 41 >= 20, 15.0D, 0.0D) x0", "i div 60 * 14.0D - if(i % 23 = 5, 4.0D, 0.0D) baseline",
         "if(i % 23 = 5, 6.0D, 10.0D) size", "i div 200 % 2 font", "400 weight", "i div 30 % 5 = 0 italic",
@@ -175,9 +177,9 @@ def glyph_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_rows(spark: SparkSession, d: str) -> DataFrame:
-    kept, _ = glyphs.strip_control(glyph_rows(spark, d))
+    kept, _ = glyphs.strip_control(glyph_rows(spark, d, gathered=True))
     spaces = spark.createDataFrame([(0, 10.0, 2.0)], "font bigint, size double, threshold double")
-    return glyphs.assemble_runs(kept, spaces)
+    return glyphs.assemble_runs(kept, spaces, gathered=True)
 
 
 @query(f"with {GLYPH_SQL} select page, line, cast(run as bigint) as run, md5(text) as text_md5, x0, x1, round(baseline, 6) as baseline, size, vertical, n from runs")
@@ -188,7 +190,7 @@ def glyph_runs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {GLYPH_SQL}, p as (select page, min(x0) as l, max(x1) as r from runs group by page), x as (select page, line, min(x0) as x0, max(x1) as x1, max((size, run, baseline)) as big, string_agg(text, ' ' order by run) as text, arg_max(text, run) as last from runs group by all)
 select page, line, round(struct_extract_at(big, 3), 6) as baseline, md5(text) as text_md5, regexp_matches(regexp_replace(last, '\\s+$', ''), '[-‐]$') as hyphen, x0 - l as indent, r - x1 as right_gap from x join p using (page)""")
 def glyph_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = glyphs.assemble_lines(run_rows(spark, d))
+    lines = glyphs.assemble_lines(run_rows(spark, d), gathered=True)
     return rounded(lines.select("page", "line", "baseline", F.md5(F.col("text").cast("binary")).alias("text_md5"), "hyphen", "indent", "right_gap"), "baseline")
 
 

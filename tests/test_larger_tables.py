@@ -21,3 +21,19 @@ def test_admission_rounds_bytes_as_its_sql(spark, tmp_path):
     orders = "select i::bigint as o_orderkey, 1::bigint as o_custkey, [399999.5, 400000.4, 400000.5, 400000.6, 400001.5][i % 5 + 1]::double as o_totalprice, '1-URGENT' as o_orderpriority from range(1, 2000) t(i)"
     got, want = against_sql(spark, "harvest_admission", tmp_path, orders=orders, customer="select 9::bigint as c_custkey, 9000.0::double as c_acctbal")
     assert got == want
+
+
+def test_glyphs_are_neither_sorted_nor_joined(spark, tmp_path):
+    """Texts longer than an Arrow batch, control characters."""
+    chats = "select (i // 2)::bigint as conv_id, (i % 2)::bigint as turn, repeat('a1 b-' || chr(10), 300 + i % 7) || 'c*' as text from range(40) t(i)"
+    for name in ("glyph_runs", "glyph_lines", "line_baselines"):
+        got, want = against_sql(spark, name, tmp_path, conversations=chats)
+        assert got == want
+        plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "collect_list" not in plan and ("Window" not in plan or name == "line_baselines")
+
+
+def test_line_baselines_of_repeated_pages(spark, tmp_path):
+    chats = "select 1::bigint as conv_id, 2::bigint as turn, repeat('word ', 20 + i::int) as text from range(6) t(i)"
+    got, want = against_sql(spark, "line_baselines", tmp_path, conversations=chats)
+    assert got == want
