@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.config import DEFAULT, Thresholds
@@ -11,13 +11,20 @@ from scriptorium.config import DEFAULT, Thresholds
 PROFILE = 300
 
 
+def words_of_letters(text: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "), " "), lambda w: w != "")
+
+
+def cut(words: DataFrame, *kept: str) -> DataFrame:
+    """(kept, gram): overlapping trigrams of each word (word), with a blank before and after."""
+    padded = words.select(*kept, F.concat(F.lit(" "), "word", F.lit(" ")).alias("padded"))
+    return padded.select(*kept, "padded", F.explode(F.sequence(F.lit(1), F.length("padded") - 2)).alias("at")).select(*kept, F.expr("substring(padded, at, 3)").alias("gram"))
+
+
 def counted(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, gram, n): overlapping trigrams of a text's words in lower case, each with a blank before and after. Words are counted before they are cut."""
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "), lambda w: w != "")
-    n = texts.select(*keys, F.explode(words).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    n = n.select(*keys, "n", F.concat(F.lit(" "), "word", F.lit(" ")).alias("padded"))
-    grams = F.transform(F.sequence(F.lit(1), F.length("padded") - 2), lambda i: F.substring("padded", i, F.lit(3)))
-    return n.select(*keys, "n", F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.sum("n").alias("n"))
+    """(keys, gram, n): trigrams of a text's words in lower case. Words are counted before they are cut: meant for few keys of many texts."""
+    n = texts.select(*keys, F.explode(words_of_letters(F.col("text"))).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    return cut(n, *keys, "n").groupBy(*keys, "gram").agg(F.sum("n").alias("n"))
 
 
 def profiles(texts: DataFrame, size: int = PROFILE) -> DataFrame:
@@ -28,10 +35,14 @@ def profiles(texts: DataFrame, size: int = PROFILE) -> DataFrame:
 
 
 def scores(texts: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
-    """(keys, lang, score): the mean weight of a text's trigrams in each profile that has any of them. Profiles are PROFILE rows a language."""
-    n = counted(texts, keys)
-    of = n.groupBy(*keys).agg(F.sum("n").alias("of"))
-    met = n.join(F.broadcast(known), "gram").groupBy(*keys, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("sum"))
+    """(keys, lang, score): the mean weight of a text's trigrams in each profile that has any of them. Profiles are PROFILE rows a language.
+
+    Trigrams meet the profiles where their text is read: a text's number of trigrams and its sum for each language are all that is shuffled.
+    """
+    words = words_of_letters(F.col("text"))
+    of = texts.select(*keys, F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("of"))
+    grams = cut(texts.select(*keys, F.explode(words).alias("word")), *keys)
+    met = grams.join(F.broadcast(known), "gram").groupBy(*keys, "lang").agg(F.sum("weight").alias("sum"))
     return met.join(of, keys).select(*keys, "lang", (F.col("sum") / F.col("of")).alias("score"))
 
 

@@ -37,3 +37,16 @@ def test_line_baselines_of_repeated_pages(spark, tmp_path):
     chats = "select 1::bigint as conv_id, 2::bigint as turn, repeat('word ', 20 + i::int) as text from range(6) t(i)"
     got, want = against_sql(spark, "line_baselines", tmp_path, conversations=chats)
     assert got == want
+
+
+def test_block_languages_shuffle_no_trigrams(spark, tmp_path):
+    """Repeated identifiers count together, texts without letters and nulls have no language."""
+    text = "case i % 9 when 0 then '12 34' when 1 then null else repeat('the ship sailed over the sea ' || chr(10) || 'der Wind kam von der See her und ' || i || ' ', 2 + i::int % 3) end"
+    docs = f"select (i // 2)::bigint as doc_id, {text} as text, case when i % 3 = 0 then 'de' else 'en' end as lang from range(60) t(i)"
+    for name in ("block_languages", "document_languages"):
+        if name == "document_languages":
+            docs = docs.replace("(i // 2)", "i")  # its SQL has a row for each row, not for each identifier
+        got, want = against_sql(spark, name, tmp_path, documents=docs)
+        assert got == want
+        plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert not any("gram" in x and "doc" in x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
