@@ -157,7 +157,7 @@ def mix_sources(
     """The columns ``keep`` of ``docs`` (all, unless given) and: topic, tokens, weight (of the row's cell, after raking), probability and sampled. Names that are taken are lengthened by ``_``.
 
     One row per row. A null source or language is the empty name; a null or empty text has no tokens and the topic
-    ``none``. Topics are those of ``model``, or of a model fitted to a bounded sample of ``docs``. A cell without tokens has probability 0. Rows that repeat an identifier in the same cell share one draw. A null identifier draws as an empty one. No rows: no rows.
+    ``none``. Topics are those of ``model``, or of a model fitted to all of ``docs``. A cell without tokens has probability 0. Rows that repeat an identifier in the same cell share one draw. A null identifier draws as an empty one. No rows: no rows.
     """
     ws = Workspace(spark, "mixing")
     kept, names = docs.columns if keep is None else keep, {}

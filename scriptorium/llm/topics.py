@@ -1,22 +1,27 @@
-"""Topics of documents: spherical k-means on hashed words, fitted to a bounded sample, named for every document.
+"""Topics of documents: spherical k-means on hashed words, fitted to all documents, named for every document.
 
-A text is a vector of BUCKETS numbers, the tempered counts of its hashed words by how rare they are in the sample, less the mean of its language's vectors, so that a topic isn't just a
-language; its topic is the centre of least angle.
+A text is a vector of BUCKETS numbers, the tempered counts of its hashed words by how rare they are among all documents, less the mean of its language's vectors, so that a topic isn't just a
+language; its topic is the centre of least angle. A bounded sample gives the centres to begin with, nothing else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import column, give_back
+from scriptorium.llm.common import Workspace, column, give_back
 from scriptorium.llm.shingles import word_hashes
 
-#: The sample: so many documents at most, those of least hash. Topics, buckets of hashed words, rounds.
+#: The sample that centres begin with: so many documents at most, those of least hash. Topics, buckets of hashed words, rounds over the sample.
 SAMPLE, TOPICS, BUCKETS, ROUNDS = 2000, 8, 1024, 20
+#: Rounds over all documents at most, and the move of a centre at which they end.
+FULL_ROUNDS, STILL = 20, 1e-3
+#: Sums are of whole numbers of this unit, so that they don't depend on how rows are dealt.
+UNIT = float(1 << 30)
 NONE = "none"
 
 
@@ -64,28 +69,91 @@ def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.nd
     return centres
 
 
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, at, n): the buckets of a text's hashed words and how often each is met; texts without a word have no row."""
+    for batch in batches:
+        rows = [(lang, *np.unique((w % np.uint64(BUCKETS)).astype(np.int16), return_counts=True)) for t, lang in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(w := word_hashes(t or b""))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.int32).tobytes() for r in rows], pa.binary())], names=["lang", "at", "n"])
+    give_back()
+
+
+def _dense(batch: pa.RecordBatch) -> np.ndarray:
+    at = [np.frombuffer(b, np.int16) for b in batch.column(1).to_pylist()]
+    x = np.zeros((len(at), BUCKETS), np.float32)
+    if at:
+        x[np.repeat(np.arange(len(at)), [*map(len, at)]), np.concatenate(at)] = np.concatenate([np.frombuffer(b, np.int32) for b in batch.column(2).to_pylist()])
+    return x
+
+
+def _units(x: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    x = np.sqrt(x) * rare.astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def _sums(of: Callable[[list[str], np.ndarray], tuple[list[str], np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's sums (name, at, sum) of the rows that ``of`` makes of languages and vectors, by their names, in UNITs; at BUCKETS the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, x = of(batch.column(0).to_pylist(), _dense(batch))
+            x, names = np.rint(x * UNIT).astype(np.int64), np.array(names)
+            for name in set(names.tolist()):
+                own = names == name
+                found[name] = found.get(name, 0) + np.r_[x[own].sum(0), own.sum()]
+        for name, total in found.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["name", "at", "sum"])
+        give_back()
+
+    return run
+
+
+def _total(vectors_: DataFrame, of: Callable) -> dict[str, tuple[np.ndarray, int]]:
+    """For each name its sum over all rows and their number: BUCKETS numbers a name."""
+    out: dict[str, np.ndarray] = {}
+    for name, at, n in vectors_.mapInArrow(_sums(of), "name string, at int, sum bigint").groupBy("name", "at").agg(F.sum("sum")).toArrow().to_pandas().itertuples(index=False):
+        out.setdefault(name, np.zeros(BUCKETS + 1, np.int64))[at] = n
+    return {k: (v[:-1] / UNIT, int(v[-1])) for k, v in sorted(out.items())}
+
+
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, k: int = TOPICS) -> Topics:
-    """Topics of at most ``sample`` documents that have a word, those whose identifier and text have the least hash. No such document: no topics."""
-    h = F.xxhash64(column(docs, id_col), column(docs, text_col))
+    """Topics of all documents that have a word: rarity, languages' means and centres are those of all. Centres begin with those of the ``sample`` documents whose identifier and text have the least hash. No such document: no topics."""
+    spark = docs.sparkSession
+    ws = Workspace(spark, "topics")
+    text, lang = column(docs, text_col).cast("string"), F.coalesce(column(docs, lang_col).cast("string"), F.lit(""))
+    h = F.pmod(F.xxhash64(column(docs, id_col), column(docs, text_col)), F.lit(1 << 30))
+    read = docs.select(text.alias("text"), lang.alias("lang"))
+    all_of = ws.keep(read.mapInArrow(_sparse, "lang string, at binary, n binary"), "vectors")
+    seen, n = _total(all_of, lambda langs, x: ([""] * len(x), (x > 0).astype(np.float64))).get("", (np.zeros(BUCKETS), 0))
+    rare = np.where(seen > 0, np.log((1 + n) / (1 + seen)) + 1e-3, 0.0)
+    means = {lang: total / count for lang, (total, count) in _total(all_of, lambda langs, x: (langs, _units(x, rare))).items()}
+
+    def less_mean(langs: list[str], x: np.ndarray) -> np.ndarray:
+        x = _units(x, rare) - np.array([means[lang] for lang in langs], np.float32).reshape(-1, BUCKETS)
+        return np.divide(x, size := np.linalg.norm(x, axis=1, keepdims=True), out=x, where=size > 0)
+
     share = min(1.0, 2 * (sample + 50) / max(1, docs.count()))  # first a share that holds enough, so that tasks send a few rows each
-    rows = docs.where(F.pmod(h, F.lit(1 << 30)) < share * (1 << 30)).select(column(docs, text_col).cast("string").alias("text"), F.coalesce(column(docs, lang_col).cast("string"), F.lit("")).alias("lang"), F.pmod(h, F.lit(1 << 30)).alias("h"))
+    rows = docs.select(text.alias("text"), lang.alias("lang"), h.alias("h")).where(F.col("h") < share * (1 << 30))
     some = rows.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).orderBy("h", "lang", "text").limit(sample).collect()
-    langs = np.array([r["lang"] for r in some])
-    x = vectors(r["text"].encode("utf-8", "surrogatepass") for r in some)
-    seen = (x > 0).sum(0)
-    rare = np.where(seen > 0, np.log((1 + len(some)) / (1 + seen)) + 1e-3, 0.0)
+    centres = cluster(less_mean([r["lang"] for r in some], vectors(r["text"].encode("utf-8", "surrogatepass") for r in some)), k).astype(np.float64)
     del some
-    np.sqrt(x, out=x)
-    x *= rare.astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-    means = {}
-    for lang in sorted(set(langs.tolist())):
-        own = langs == lang
-        means[lang] = x[own].mean(0, dtype=np.float64)
-        x[own] -= means[lang].astype(np.float32)
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    np.divide(x, size, out=x, where=size > 0)
-    out = Topics(rare, means, cluster(x, k).astype(np.float64))
-    del x
+    for _ in range(FULL_ROUNDS if len(centres) else 0):
+        now = centres.astype(np.float32)
+
+        def nearest(langs: list[str], x: np.ndarray) -> tuple[list[str], np.ndarray]:
+            x = less_mean(langs, x)
+            return [*map(str, (x @ now.T).argmax(1).tolist())], x
+
+        after = centres.copy()
+        for name, (total, _count) in _total(all_of, nearest).items():
+            if (size := np.linalg.norm(total)) > 0:
+                after[int(name)] = total / size
+        moved, centres = float(np.linalg.norm(after - centres, axis=1).max()), after
+        if moved < STILL:
+            break
+    ws.drop("vectors")
     give_back()
-    return out
+    return Topics(rare, means, centres)

@@ -121,3 +121,12 @@ def test_odd_rows(spark, odd_docs):
     assert out.columns[: len(odd_docs.columns)] == odd_docs.columns and out.columns[-5:] == ["topic_", "tokens_", "weight", "probability", "sampled_"]
     assert out.count() == 11 and {(r["tokens_"], r["topic_"]) for r in out.where("doc_id in (3, 4, 5)").collect()} == {(0, "none")}
     assert M.mix_sources(spark, odd_docs.limit(0)).count() == 0
+
+
+def test_topics_are_fitted_to_all_documents(spark):
+    """Rarity, means and centres don't hang on the few documents that the centres begin with."""
+    df = spark.createDataFrame([r[:4] for r in mixed_rows(600)], "doc_id int, text string, lang string, source string")
+    few, all_of = (M.topics.fit(df.repartition(n), "doc_id", "text", "lang", sample=s, k=2) for n, s in ((3, 40), (7, 600)))
+    assert np.array_equal(few.rare, all_of.rare) and all(np.array_equal(few.means[k], all_of.means[k]) for k in ("de", "en"))
+    cosine = few.centres @ all_of.centres.T
+    assert cosine.max(1).min() > 0.99 and cosine.max(0).min() > 0.99
