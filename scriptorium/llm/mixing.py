@@ -138,14 +138,30 @@ def uniform(identifier: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(identifier.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def _read(model: topics.Topics, names: list[str]):
-    """Adds a document's topic and tokens (runs of bytes other than space and 0x09-0x0D) to its kept columns; the text itself, and the language, come first."""
+def _read(names: list[str]):
+    """Adds a document's tokens (runs of bytes other than space and 0x09-0x0D) and their buckets to its columns but the first, the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [word_hashes(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            said = [model(w, lang) for w, lang in zip(words, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(said, pa.string()), pa.array([*map(len, words)], pa.int64())], names=names)
+            tokens, at, n = [], [], []
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                words = word_hashes(t or b"")
+                tokens.append(len(words))
+                for own, x in zip((at, n), topics.buckets(words), strict=True):
+                    own.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(tokens, pa.int64()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=names)
+        give_back()
+
+    return run
+
+
+def _named(model: topics.Topics, names: list[str]):
+    """Adds the topic to columns of which the last three are language, at and n; at and n go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, at, n = (c.to_pylist() for c in batch.columns[-3:])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(model.names(at, n, langs), pa.string())], names=names)
         give_back()
 
     return run
@@ -165,17 +181,19 @@ def mix_sources(
     for n in ("topic", "tokens", "weight", "probability", "sampled"):
         names[n] = fresh(taken, n)
         taken.append(names[n])
-    model = model or topics.fit(docs, id_col, text_col, lang_col)
     name = lambda c: F.coalesce(column(docs, c).cast("string"), F.lit(""))
-    # plain names on the way through Python
-    given = docs.select(column(docs, text_col).cast("string").alias("text"), name(lang_col).alias("read_lang"), *[column(docs, c).alias(f"c{i}") for i, c in enumerate(kept)], name(source_col).alias("source"), name(lang_col).alias("language"), uniform(column(docs, id_col)).alias("draw"))
-    schema = T.StructType([*given.schema.fields[2:], T.StructField("topic", T.StringType()), T.StructField("tokens", T.LongType())])
-    own = given.mapInArrow(_read(model, [f.name for f in schema.fields]), schema)
-    # of the counting pass only the cell's columns leave Python
-    narrow = given.select("text", "read_lang", "source", "language")
-    slim = T.StructType([*narrow.schema.fields[2:], *schema.fields[-2:]])
-    counted = narrow.mapInArrow(_read(model, [f.name for f in slim.fields]), slim)
-    cells = ws.keep(counted.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
+    # plain names on the way through Python; texts are read once, what follows reads their buckets
+    given = docs.select(column(docs, text_col).cast("string").alias("text"), *[column(docs, c).alias(f"c{i}") for i, c in enumerate(kept)], name(source_col).alias("source"), name(lang_col).alias("language"), uniform(column(docs, id_col)).alias("draw"))
+    schema = T.StructType([*given.schema.fields[1:], T.StructField("tokens", T.LongType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType())])
+    read = ws.keep(given.mapInArrow(_read([f.name for f in schema.fields]), schema), "read")
+    model = model or topics.fit_vectors(read.select("language", "at", "n"))
+
+    def with_topics(columns: list[str]) -> DataFrame:
+        slim = T.StructType([*read.select(*columns, "language").schema.fields, T.StructField("topic", T.StringType())])
+        return read.select(*columns, "language", "at", "n").mapInArrow(_named(model, [f.name for f in slim.fields]), slim)
+
+    own = with_topics([*[f"c{i}" for i in range(len(kept))], "source", "draw", "tokens"])
+    cells = ws.keep(with_topics(["source", "tokens"]).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
     n = cells.count()
     if n <= MOST_CELLS:
         few = cells.toPandas().sort_values([*DIMENSIONS], ignore_index=True)

@@ -1,12 +1,12 @@
 """Topics of documents: spherical k-means on hashed words, fitted to all documents, named for every document.
 
 A text is a vector of BUCKETS numbers, the tempered counts of its hashed words by how rare they are among all documents, less the mean of its language's vectors, so that a topic isn't just a
-language; its topic is the centre of least angle. A bounded sample gives the centres to begin with, nothing else.
+language; its topic is the centre of least angle. Centres begin as fixed random directions: no document is picked for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +16,34 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import Workspace, column, give_back
 from scriptorium.llm.shingles import word_hashes
 
-#: The sample that centres begin with: so many documents at most, those of least hash. Topics, buckets of hashed words, rounds over the sample.
-SAMPLE, TOPICS, BUCKETS, ROUNDS = 2000, 8, 1024, 20
+#: Topics, buckets of hashed words, seed of the directions that centres begin with.
+TOPICS, BUCKETS, SEED = 8, 1024, 3
 #: Rounds over all documents at most, and the move of a centre at which they end.
 FULL_ROUNDS, STILL = 20, 1e-3
 #: Sums are of whole numbers of this unit, so that they don't depend on how rows are dealt.
 UNIT = float(1 << 30)
+#: A vector nearer than this to its language's mean has no direction.
+LEAST = 1e-3
 NONE = "none"
 
 
+class Sparse:
+    """Vectors of a batch's texts that have a word: ``at`` and ``n`` are the buckets and counts of all, ``first`` where each begins."""
+
+    def __init__(self, at: list[bytes], n: list[bytes]):
+        self.at = np.frombuffer(b"".join(at), np.int16).astype(np.int64)
+        self.n = np.frombuffer(b"".join(n), np.int32)
+        self.sizes = np.array([len(x) // 2 for x in at], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.first)
+
+    def unit(self, rare: np.ndarray) -> np.ndarray:
+        x = np.sqrt(self.n) * rare[self.at]
+        return x / np.repeat(np.maximum(np.sqrt(self.sums(x * x)), 1e-30), self.sizes)
+
+
 class Topics:
     """``means`` by language, ``rare`` by bucket, ``centres`` a row for each topic."""
 
@@ -33,127 +52,124 @@ class Topics:
         # the angle with a centre is that of the raw vector, less that of the language's mean with the centre
         self.shift = {k: self.centres @ m for k, m in means.items()}
 
-    def __call__(self, words: np.ndarray, lang: str) -> str:
-        if not len(words) or not len(self.centres):
-            return NONE
-        at, n = np.unique((words % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
-        x = np.sqrt(n) * self.rare[at]
-        size = np.sqrt(x @ x)
-        score = (self.centres[:, at] @ x) / size if size > 0 else np.zeros(len(self.centres))
-        if lang in self.shift:
-            score = score - self.shift[lang]
-        return f"t{int(score.argmax())}"
-
-
-def vectors(texts: Iterable[bytes]) -> np.ndarray:
-    """Counts of hashed words, a row for each text."""
-    out = [np.bincount((word_hashes(t) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) for t in texts]
-    return np.array(out, np.float32).reshape(-1, BUCKETS)
-
-
-def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 3) -> np.ndarray:
-    """Unit centres of unit rows; each next first centre is the row farthest from those there are."""
-    if not len(x):
-        return np.zeros((0, x.shape[1]), x.dtype)
-    picked = [int(np.random.default_rng(seed).integers(len(x)))]
-    near = x @ x[picked[0]]
-    while len(picked) < min(k, len(x)):
-        picked.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[picked[-1]])
-    centres = x[picked].copy()
-    for _ in range(rounds):
-        own = (x @ centres.T).argmax(1)
-        sums = np.stack([x[own == i].sum(0) for i in range(len(centres))])
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
-    return centres
+    def nearest(self, x: Sparse, unit: np.ndarray, langs: list[str]) -> np.ndarray:
+        none = np.zeros(len(self.centres))
+        shift = np.array([self.shift.get(lang, none) for lang in langs])
+        return (np.array([x.sums(c[x.at] * unit) for c in self.centres]).T - shift).argmax(1)
 
+    def names(self, at: list[bytes], n: list[bytes], langs: list[str]) -> list[str]:
+        """The topic of each text, given by its buckets and counts."""
+        out, some = [NONE] * len(at), [i for i, b in enumerate(at) if b]
+        if some and len(self.centres):
+            x = Sparse([at[i] for i in some], [n[i] for i in some])
+            for i, c in zip(some, self.nearest(x, x.unit(self.rare), [langs[i] for i in some]).tolist(), strict=True):
+                out[i] = f"t{c}"
+        return out
 
-def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, at, n): the buckets of a text's hashed words and how often each is met; texts without a word have no row."""
-    for batch in batches:
-        rows = [(lang, *np.unique((w % np.uint64(BUCKETS)).astype(np.int16), return_counts=True)) for t, lang in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True) if len(w := word_hashes(t or b""))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.int32).tobytes() for r in rows], pa.binary())], names=["lang", "at", "n"])
-    give_back()
+    def __call__(self, words: np.ndarray, lang: str) -> str:
+        at, n = buckets(words)
+        return self.names([at], [n], [lang])[0]
 
 
-def _dense(batch: pa.RecordBatch) -> np.ndarray:
-    at = [np.frombuffer(b, np.int16) for b in batch.column(1).to_pylist()]
-    x = np.zeros((len(at), BUCKETS), np.float32)
-    if at:
-        x[np.repeat(np.arange(len(at)), [*map(len, at)]), np.concatenate(at)] = np.concatenate([np.frombuffer(b, np.int32) for b in batch.column(2).to_pylist()])
-    return x
+def buckets(words: np.ndarray) -> tuple[bytes, bytes]:
+    """The buckets of a text's hashed words (16 bits each) and how often each is met (32 bits)."""
+    counts = np.bincount((words % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    at = np.flatnonzero(counts)
+    return at.astype(np.int16).tobytes(), counts[at].astype(np.int32).tobytes()
 
 
-def _units(x: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    x = np.sqrt(x) * rare.astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [buckets(word_hashes(t or b"")) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["language", "at", "n"])
+    give_back()
 
 
-def _sums(of: Callable[[list[str], np.ndarray], tuple[list[str], np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's sums (name, at, sum) of the rows that ``of`` makes of languages and vectors, by their names, in UNITs; at BUCKETS the number of rows."""
+def _total(vectors: DataFrame, of: Callable[[Sparse, list[str]], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """For each name the sum over all batches of the whole numbers that ``of`` makes of one: BUCKETS + 1 a name. A task sends its own sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
+            at = batch.column(1).to_pylist()
+            some = [i for i, b in enumerate(at) if b]
+            if not some:
                 continue
-            names, x = of(batch.column(0).to_pylist(), _dense(batch))
-            x, names = np.rint(x * UNIT).astype(np.int64), np.array(names)
-            for name in set(names.tolist()):
-                own = names == name
-                found[name] = found.get(name, 0) + np.r_[x[own].sum(0), own.sum()]
+            langs, n = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for name, x in of(Sparse([at[i] for i in some], [n[i] for i in some]), [langs[i] for i in some]).items():
+                found[name] = found.get(name, 0) + x.astype(np.int64)
         for name, total in found.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["name", "at", "sum"])
         give_back()
 
-    return run
-
-
-def _total(vectors_: DataFrame, of: Callable) -> dict[str, tuple[np.ndarray, int]]:
-    """For each name its sum over all rows and their number: BUCKETS numbers a name."""
     out: dict[str, np.ndarray] = {}
-    for name, at, n in vectors_.mapInArrow(_sums(of), "name string, at int, sum bigint").groupBy("name", "at").agg(F.sum("sum")).toArrow().to_pandas().itertuples(index=False):
+    for name, at, n in vectors.mapInArrow(run, "name string, at int, sum bigint").groupBy("name", "at").agg(F.sum("sum")).toArrow().to_pandas().itertuples(index=False):
         out.setdefault(name, np.zeros(BUCKETS + 1, np.int64))[at] = n
-    return {k: (v[:-1] / UNIT, int(v[-1])) for k, v in sorted(out.items())}
-
-
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, k: int = TOPICS) -> Topics:
-    """Topics of all documents that have a word: rarity, languages' means and centres are those of all. Centres begin with those of the ``sample`` documents whose identifier and text have the least hash. No such document: no topics."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "topics")
-    text, lang = column(docs, text_col).cast("string"), F.coalesce(column(docs, lang_col).cast("string"), F.lit(""))
-    h = F.pmod(F.xxhash64(column(docs, id_col), column(docs, text_col)), F.lit(1 << 30))
-    read = docs.select(text.alias("text"), lang.alias("lang"))
-    all_of = ws.keep(read.mapInArrow(_sparse, "lang string, at binary, n binary"), "vectors")
-    seen, n = _total(all_of, lambda langs, x: ([""] * len(x), (x > 0).astype(np.float64))).get("", (np.zeros(BUCKETS), 0))
-    rare = np.where(seen > 0, np.log((1 + n) / (1 + seen)) + 1e-3, 0.0)
-    means = {lang: total / count for lang, (total, count) in _total(all_of, lambda langs, x: (langs, _units(x, rare))).items()}
-
-    def less_mean(langs: list[str], x: np.ndarray) -> np.ndarray:
-        x = _units(x, rare) - np.array([means[lang] for lang in langs], np.float32).reshape(-1, BUCKETS)
-        return np.divide(x, size := np.linalg.norm(x, axis=1, keepdims=True), out=x, where=size > 0)
-
-    share = min(1.0, 2 * (sample + 50) / max(1, docs.count()))  # first a share that holds enough, so that tasks send a few rows each
-    rows = docs.select(text.alias("text"), lang.alias("lang"), h.alias("h")).where(F.col("h") < share * (1 << 30))
-    some = rows.where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).orderBy("h", "lang", "text").limit(sample).collect()
-    centres = cluster(less_mean([r["lang"] for r in some], vectors(r["text"].encode("utf-8", "surrogatepass") for r in some)), k).astype(np.float64)
-    del some
-    for _ in range(FULL_ROUNDS if len(centres) else 0):
-        now = centres.astype(np.float32)
-
-        def nearest(langs: list[str], x: np.ndarray) -> tuple[list[str], np.ndarray]:
-            x = less_mean(langs, x)
-            return [*map(str, (x @ now.T).argmax(1).tolist())], x
-
-        after = centres.copy()
-        for name, (total, _count) in _total(all_of, nearest).items():
-            if (size := np.linalg.norm(total)) > 0:
-                after[int(name)] = total / size
+    return dict(sorted(out.items()))
+
+
+def _codes(langs: list[str]) -> tuple[list[str], np.ndarray]:
+    names = sorted(set(langs))
+    at = {k: i for i, k in enumerate(names)}
+    return names, np.array([at[k] for k in langs], np.int64)
+
+
+def _by(groups: np.ndarray, k: int, x: Sparse, weight: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each of ``k`` groups of texts the sums of ``weight`` by bucket, and of ``own`` (a number a text) at BUCKETS."""
+    out = np.bincount(np.repeat(groups * (BUCKETS + 1), x.sizes) + x.at, weight, k * (BUCKETS + 1)).reshape(k, -1)
+    out[:, BUCKETS] = np.bincount(groups, own, k)
+    return out
+
+
+def fit_vectors(vectors: DataFrame, k: int = TOPICS) -> Topics:
+    """Topics of a written table (language, at, n) of the buckets of all texts. Rarity, languages' means and centres are those of all texts with a word; no such text: no topics."""
+
+    def seen_in(x: Sparse, langs: list[str]) -> dict[str, np.ndarray]:
+        return {"": np.r_[np.bincount(x.at, minlength=BUCKETS), len(langs)]}
+
+    seen = _total(vectors, seen_in).get("", np.zeros(BUCKETS + 1, np.int64))
+    n, seen = int(seen[-1]), seen[:-1]
+    rare = np.where(seen > 0, np.log((1 + n) / (1 + np.maximum(seen, 0))) + 1e-3, 0.0)
+
+    def by_language(x: Sparse, langs: list[str]) -> dict[str, np.ndarray]:
+        names, code = _codes(langs)
+        return dict(zip(names, _by(code, len(names), x, np.rint(x.unit(rare) * UNIT), np.ones(len(langs))), strict=True))
+
+    means = {lang: x[:-1] / UNIT / x[-1] for lang, x in _total(vectors, by_language).items()}
+    squares = {lang: float(m @ m) for lang, m in means.items()}
+    centres = np.random.default_rng(SEED).standard_normal((k if n else 0, BUCKETS))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    for _ in range(FULL_ROUNDS if n else 0):
+        model = Topics(rare, means, centres)
+
+        def nearest(x: Sparse, langs: list[str]) -> dict[str, np.ndarray]:
+            unit = x.unit(rare)
+            names, code = _codes(langs)
+            mean = np.array([means[c] for c in names])
+            apart = np.sqrt(np.maximum(0.0, x.sums(unit * unit) + np.array([squares[c] for c in names])[code] - 2 * x.sums(unit * mean[np.repeat(code, x.sizes), x.at])))
+            over = np.divide(1.0, apart, out=np.zeros_like(apart), where=apart > LEAST)
+            groups = model.nearest(x, unit, langs) * len(names) + code
+            sums = _by(groups, k * len(names), x, np.rint(unit * np.repeat(over, x.sizes) * UNIT), np.rint(over * UNIT))
+            return {f"{i // len(names)} {names[i % len(names)]}": sums[i] for i in np.unique(groups).tolist()}
+
+        sums = np.zeros_like(centres)
+        for name, x in _total(vectors, nearest).items():
+            i, _, lang = name.partition(" ")
+            sums[int(i)] += (x[:-1] - x[-1] * means[lang]) / UNIT
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        after = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
         moved, centres = float(np.linalg.norm(after - centres, axis=1).max()), after
         if moved < STILL:
             break
-    ws.drop("vectors")
     give_back()
     return Topics(rare, means, centres)
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int | None = None, k: int = TOPICS) -> Topics:
+    """Topics of all of ``docs``. ``id_col`` and ``sample`` have no effect: they stand for callers of a time when centres began with a sample."""
+    ws = Workspace(docs.sparkSession, "topics")
+    read = docs.select(column(docs, text_col).cast("string").alias("text"), F.coalesce(column(docs, lang_col).cast("string"), F.lit("")).alias("language"))
+    found = fit_vectors(ws.keep(read.mapInArrow(_read, "language string, at binary, n binary"), "vectors"), k)
+    ws.drop("vectors")
+    return found

@@ -130,3 +130,18 @@ def test_topics_are_fitted_to_all_documents(spark):
     assert np.array_equal(few.rare, all_of.rare) and all(np.array_equal(few.means[k], all_of.means[k]) for k in ("de", "en"))
     cosine = few.centres @ all_of.centres.T
     assert cosine.max(1).min() > 0.99 and cosine.max(0).min() > 0.99
+
+
+def test_no_document_is_picked_for_the_centres(spark, monkeypatch):
+    """Texts are hashed once, sorted and collected never; a table's topics are those of the model on each text, however rows are dealt."""
+    rows = mixed_rows(300)
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id bigint, text string, lang string, source string")
+    monkeypatch.setattr(type(df), "collect", lambda *_: pytest.fail("rows of documents are collected"))
+    model = M.topics.fit(df.repartition(5), "doc_id", "text", "lang")
+    again = M.topics.fit(df.repartition(2), "doc_id", "text", "lang")
+    assert np.array_equal(model.centres, again.centres)
+    monkeypatch.undo()
+    out = M.mix_sources(spark, df.repartition(3)).toPandas().sort_values("doc_id")
+    from scriptorium.llm.shingles import word_hashes
+
+    assert out["topic"].tolist() == [model(word_hashes(r[1].encode()), r[2]) for r in rows]
