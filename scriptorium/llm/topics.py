@@ -24,6 +24,8 @@ FULL_ROUNDS, STILL = 20, 1e-3
 UNIT = float(1 << 30)
 #: A vector nearer than this to its language's mean has no direction.
 LEAST = 1e-3
+#: Texts that are made dense at once: 1 MB.
+ROWS = 128
 NONE = "none"
 
 
@@ -122,6 +124,69 @@ def _by(groups: np.ndarray, k: int, x: Sparse, weight: np.ndarray, own: np.ndarr
     return out
 
 
+def _directions(rare: np.ndarray, means: dict[str, np.ndarray]):
+    """What stays the same in all rounds, for texts with a word: the language's place in ``means``, one over the distance of its mean, the buckets, and the vector times that."""
+    place, mean = {lang: i for i, lang in enumerate(means)}, np.array([*means.values()])
+    square = (mean * mean).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.compute.greater(pa.compute.binary_length(batch.column(1)), 0))
+            if not len(batch):
+                continue
+            at = batch.column(1).to_pylist()
+            x, code = Sparse(at, batch.column(2).to_pylist()), np.array([place[lang] for lang in batch.column(0).to_pylist()], np.int64)
+            unit = x.unit(rare)
+            apart = np.sqrt(np.maximum(0.0, x.sums(unit * unit) + square[code] - 2 * x.sums(unit * mean[np.repeat(code, x.sizes), x.at])))
+            over = np.divide(1.0, apart, out=np.zeros_like(apart), where=apart > LEAST)
+            own = (unit * np.repeat(over, x.sizes)).astype(np.float32).tobytes()
+            parts = [own[4 * i : 4 * (i + size)] for i, size in zip(x.first.tolist(), x.sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(over), pa.array(at, pa.binary()), pa.array(parts, pa.binary())], names=["language", "over", "at", "x"])
+        give_back()
+
+    return run
+
+
+def _joined(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of binary values without nulls, and where each value's begin and end; nothing is copied."""
+    width = np.dtype(kind).itemsize
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // width
+    return np.frombuffer(column.buffers()[2], kind, int(ends[-1])), ends
+
+
+def _sums(directions: DataFrame, centres: np.ndarray, means: np.ndarray) -> np.ndarray:
+    """For each centre the sum of the directions of its texts from their languages' means."""
+    k, shift = len(centres), means @ centres.T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros((k, BUCKETS), np.int64), np.zeros((k, len(means)), np.int64)
+        dense = np.zeros((ROWS, BUCKETS))
+        for batch in batches:
+            code, over = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            (at, ends), (x, _) = _joined(batch.column(2), np.int16), _joined(batch.column(3), np.float32)
+            for i in range(0, len(code), ROWS):
+                own = slice(ends[i], ends[min(i + ROWS, len(code))])
+                rows, langs, o = np.arange(min(ROWS, len(code) - i)), code[i : i + ROWS], over[i : i + ROWS] * UNIT
+                dense[:] = 0
+                dense[np.repeat(rows, np.diff(ends[i : i + len(rows) + 1])), at[own]] = np.rint(x[own] * UNIT)
+                near = ((dense @ centres.T)[: len(rows)] - o[:, None] * shift[langs]).argmax(1)
+                pick = np.zeros((k, ROWS))
+                pick[near, rows] = 1
+                total += (pick @ dense).astype(np.int64)  # whole numbers below 2**53: exact in any order
+                np.add.at(weight, (near, langs), np.rint(o).astype(np.int64))
+        both = np.concatenate([total, weight], 1)
+        some = np.flatnonzero(both.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c[some]) for c in both)], names=["at", *(f"s{i}" for i in range(k))])
+        give_back()
+
+    names = [f"s{i}" for i in range(k)]
+    found = directions.mapInArrow(run, f"at int, {', '.join(f'{c} bigint' for c in names)}").groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out, at = np.zeros((k, BUCKETS + len(means))), found.column("at").to_numpy()
+    for i, c in enumerate(names):
+        out[i, at] = found.column(c).to_numpy()
+    return (out[:, :BUCKETS] - out[:, BUCKETS:] @ means) / UNIT
+
+
 def fit_vectors(vectors: DataFrame, k: int = TOPICS) -> Topics:
     """Topics of a written table (language, at, n) of the buckets of all texts. Rarity, languages' means and centres are those of all texts with a word; no such text: no topics."""
 
@@ -137,31 +202,18 @@ def fit_vectors(vectors: DataFrame, k: int = TOPICS) -> Topics:
         return dict(zip(names, _by(code, len(names), x, np.rint(x.unit(rare) * UNIT), np.ones(len(langs))), strict=True))
 
     means = {lang: x[:-1] / UNIT / x[-1] for lang, x in _total(vectors, by_language).items()}
-    squares = {lang: float(m @ m) for lang, m in means.items()}
     centres = np.random.default_rng(SEED).standard_normal((k if n else 0, BUCKETS))
     centres /= np.linalg.norm(centres, axis=1, keepdims=True)
-    for _ in range(FULL_ROUNDS if n else 0):
-        model = Topics(rare, means, centres)
-
-        def nearest(x: Sparse, langs: list[str]) -> dict[str, np.ndarray]:
-            unit = x.unit(rare)
-            names, code = _codes(langs)
-            mean = np.array([means[c] for c in names])
-            apart = np.sqrt(np.maximum(0.0, x.sums(unit * unit) + np.array([squares[c] for c in names])[code] - 2 * x.sums(unit * mean[np.repeat(code, x.sizes), x.at])))
-            over = np.divide(1.0, apart, out=np.zeros_like(apart), where=apart > LEAST)
-            groups = model.nearest(x, unit, langs) * len(names) + code
-            sums = _by(groups, k * len(names), x, np.rint(unit * np.repeat(over, x.sizes) * UNIT), np.rint(over * UNIT))
-            return {f"{i // len(names)} {names[i % len(names)]}": sums[i] for i in np.unique(groups).tolist()}
-
-        sums = np.zeros_like(centres)
-        for name, x in _total(vectors, nearest).items():
-            i, _, lang = name.partition(" ")
-            sums[int(i)] += (x[:-1] - x[-1] * means[lang]) / UNIT
-        size = np.linalg.norm(sums, axis=1, keepdims=True)
-        after = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
-        moved, centres = float(np.linalg.norm(after - centres, axis=1).max()), after
-        if moved < STILL:
-            break
+    if n:
+        ws = Workspace(vectors.sparkSession, "directions")
+        directions = ws.keep(vectors.mapInArrow(_directions(rare, means), "language int, over double, at binary, x binary"), "directions")
+        for _ in range(FULL_ROUNDS):
+            size = np.linalg.norm(sums := _sums(directions, centres, np.array([*means.values()])), axis=1, keepdims=True)
+            after = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
+            moved, centres = float(np.linalg.norm(after - centres, axis=1).max()), after
+            if moved < STILL:
+                break
+        ws.drop("directions")
     give_back()
     return Topics(rare, means, centres)
 

@@ -145,3 +145,36 @@ def test_no_document_is_picked_for_the_centres(spark, monkeypatch):
     from scriptorium.llm.shingles import word_hashes
 
     assert out["topic"].tolist() == [model(word_hashes(r[1].encode()), r[2]) for r in rows]
+
+
+def test_a_round_sends_a_row_for_each_bucket(spark):
+    """The sums of a round are those of plain loops, and a task sends a row a bucket with all centres, not one for each centre, language and bucket."""
+    T = M.topics
+    rows = [(lang, *T.buckets(np.arange(i, 5 * i, 3, dtype=np.uint64) ** 2)) for i in range(200) for lang in ("de", "en", "")]
+    rng = np.random.default_rng(4)
+    rare, means = rng.random(T.BUCKETS), {k: rng.random(T.BUCKETS) / 40 for k in ("", "de", "en", "fr")}
+    centres = rng.standard_normal((3, T.BUCKETS))
+    want = np.zeros_like(centres)
+    for lang, at, n in rows:
+        if at:
+            x = np.zeros(T.BUCKETS)
+            x[np.frombuffer(at, np.int16)] = np.sqrt(np.frombuffer(n, np.int32))
+            x *= rare
+            x = x / np.linalg.norm(x) - means[lang]
+            want[(centres @ x).argmax()] += x / np.linalg.norm(x)
+    df = spark.createDataFrame(rows, "language string, at binary, n binary").repartition(3)
+    found = df.mapInArrow(T._directions(rare, means), "language int, over double, at binary, x binary")
+    assert np.allclose(T._sums(found, centres, np.array([*means.values()])), want, atol=1e-4)
+    sent = []
+    whole = type(df).mapInArrow
+
+    def counted(self, f, schema):
+        out = whole(self, f, schema)
+        sent.append((out.count(), schema))
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df), "mapInArrow", counted)
+        T.fit_vectors(df, 3)
+    rounds = [n for n, schema in sent if "string" not in schema and "binary" not in schema]
+    assert rounds and max(rounds) <= 3 * (T.BUCKETS + len(means))
