@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import Workspace, column, lower_ascii, sized_join
+from scriptorium.llm.common import Workspace, column, lower_ascii, shrink_heaps, sized_join
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ARRIVAL = "doc_id bigint, digest binary, file bigint, row bigint"
@@ -131,6 +131,7 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts the document with the largest identifier stays; all columns of documents are returned."""
+    shrink_heaps(spark)
     verdict = exact_dedup(spark, docs)
     gone = verdict.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
     keyed = docs.withColumn("digest_", sha256(normalise(F.col("text"))))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import Workspace, column, fresh, give_back
+from scriptorium.llm.common import Workspace, column, fresh, give_back, shrink_heaps
 
 #: Training takes at most so many documents a language, and so many in all (at least one a language); of those, whole texts.
 TRAIN_DOCS, TRAIN_ALL = 250, 50_000
@@ -285,6 +285,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a recognised language (no letter, or a best score under LEAST_SCORE) go; the others keep all columns."""
+    shrink_heaps(spark)
     found = identify(spark, docs, fit(docs))
     pred, score = found.columns[-2:]
     return found.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)

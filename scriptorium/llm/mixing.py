@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm import topics
-from scriptorium.llm.common import Workspace, column, fresh, give_back, sized_join
+from scriptorium.llm.common import Workspace, column, fresh, give_back, shrink_heaps, sized_join
 from scriptorium.llm.shingles import word_hashes
 
 if TYPE_CHECKING:  # Python tasks do without it
@@ -215,5 +215,6 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents sampled to the tempered marginals, with all columns."""
+    shrink_heaps(spark)
     found = mix_sources(spark, docs)
     return found.where(F.col(found.columns[-1])).select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm.common import Workspace, column, give_back
+from scriptorium.llm.common import Workspace, column, give_back, shrink_heaps
 
 LENGTH = 1024
 OPEN_WINDOWS = 32
@@ -220,6 +220,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the documents' pieces."""
+    shrink_heaps(spark)
     return _public(spark, docs)
 
 

@@ -25,3 +25,25 @@ def test_stages_and_columns(spark, tmp_path, words):
     pieces = C.STAGES[-1][1](spark, docs, path).collect()
     assert {r["doc_id"] for r in pieces} == kept[4]
     assert {r["doc_id"] for r in C.run(spark, path).collect()} == kept[4]
+
+
+def test_free_heap_goes_back_between_steps(spark):
+    """A heap that a large step has filled shrinks once the step is over; else it stays at its most beside the Python workers."""
+    from scriptorium.llm.common import shrink_heaps
+
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    spark.range(0, 6_000_000, 1, 8).selectExpr("id % 1000000 k", "repeat(cast(id as string), 4) t").groupBy("k").agg({"t": "collect_list"}).write.format("noop").mode("overwrite").save()
+    before = runtime.totalMemory()
+    shrink_heaps(spark)
+    assert runtime.totalMemory() < 0.8 * before
+
+
+def test_every_stage_begins_with_shrunk_heaps(spark, tmp_path, monkeypatch):
+    import sys
+
+    spark.createDataFrame([(i, f"some words of text {i} " * 5, "en", "a", 1) for i in range(9)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs, called = spark.read.parquet(f"file://{tmp_path}/documents.parquet"), []
+    for name, stage in C.STAGES:
+        monkeypatch.setattr(sys.modules[stage.__module__], "shrink_heaps", lambda _, name=name: called.append(name))
+        stage(spark, docs, f"file://{tmp_path}")
+    assert {n for n, _ in C.STAGES} == set(called)
